@@ -11,8 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlab.shipping import ship
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +29,36 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlab.llm.ngram_jaccard import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlab.llm.quality_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlab.llm.url_templates import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlab.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).drop("text", "n_chars")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlab.llm.substring_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlab.llm.license_scan import scan
 
@@ -59,7 +92,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_license_scan, op6_quality_classifier, op8_fingerprints, op9_byte_bpe, op10_token_counts)
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_quality_rules, op3_license_scan, op4_url_templates, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_fingerprints, op9_byte_bpe, op10_token_counts)
 }
 #: The methods above are no SQL queries (models, tokenizers, sketches); tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}

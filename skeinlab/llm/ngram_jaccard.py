@@ -274,7 +274,7 @@ def join(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     members = groups.join(sizes, F.col("grp") == F.col("g")).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")))
     members = members.join(nodes.select("key", "first_doc", "copies"), F.col("node") == F.col("key")).select("grp", "key", "nb", "blk", "first_doc", "copies")
     members = write_table(members, "members")
-    texts = documents.filter("doc_id IS NOT NULL").join(members, F.col("doc_id") == F.col("first_doc")).select("grp", "key", "nb", "blk", "copies", "text")
+    texts = documents.filter("doc_id IS NOT NULL").hint("merge").join(members, F.col("doc_id") == F.col("first_doc")).select("grp", "key", "nb", "blk", "copies", "text")
     dealt = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("grp", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "key", "blk", "copies", "text")
     exact = write_table(_exact(dealt, words, threshold), "exact")
     links = exact.groupBy("key").agg(F.sum("links").alias("links"))

@@ -3,7 +3,8 @@
 Every round links each node's larger neighbours to its least neighbour (large star) and then its
 smaller ones (small star), until nothing changes; what is left are stars around each component's
 least node. Only minima by node and plain joins are used, so a node with very many neighbours is
-no hot group. Each round is written to the shared folder, which cuts the lineage.
+no hot group: the minima are keyed by the negated node, so the join deals its rows out anew and Spark
+can split a large partition. Each round is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     before = None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")).withColumnRenamed("a", "node")
-        large = both.join(least, F.col("a") == F.col("node")).filter("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")).select((-F.col("a")).alias("minus"), "m")
+        large = both.join(least, -F.col("a") == F.col("minus")).filter("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.filter("b < a")
-        low = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
-        small = down.join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("node", "m")).filter("a <> b").distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m")).select((-F.col("a")).alias("minus"), "m")
+        small = down.join(low, -F.col("a") == F.col("minus")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(-F.col("minus"), "m")).filter("a <> b").distinct()
         following = write_table(small, f"{name}-round")
         mark = following.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_table(now)

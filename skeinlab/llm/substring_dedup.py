@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinlab.llm import _text as X
+from skeinlab.storage import write_table
 
 SENTENCES, MIN_WORDS = 1, 24
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -84,6 +85,7 @@ def covered(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_W
     rows = span_rows(documents, least, min_words)
     where = F.struct("doc_id", "version", "at")
     repeated = rows.groupBy("h").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select(F.col("h").alias("rh"), "first")
+    repeated = write_table(repeated, "repeated")  # the join below then deals rows out anew, and a frequent span's can be split
     later = rows.join(repeated, (F.col("h") == F.col("rh")) & (where != F.col("first")))
     return later.select("doc_id", "version", F.struct("at", "n").alias("span")).groupBy("doc_id", "version").agg(F.collect_list("span").alias("spans"))
 

@@ -1,14 +1,375 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, and the same in SQL.
+
+Spaces are the labels of ``embeddings``, one space for each label. Results hold numbers and strings;
+distances are rounded to six digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinlab.functions import fields, intervals, text
+from skeinlab.functions import simplex as S
+from skeinlab.operators import barcode, chains, homology, rips, spanning, symmetry
+from skeinlab.operators import metric as M
+from skeinlab.shipping import ship
+from skeinlab.sources import metric as source
+from skeinlab.sources import simplicial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+EDGE, TRIANGLE = 1.3, 1.36
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return run
+
+    return register
+
+
+def spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.euclidean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id"), F.col("embedding"), F.col("label"))
+
+
+def _d(c: str = "d"):
+    return F.round(c, 6).alias(c)
+
+
+def _name(c: str = "cell"):
+    return F.array_join(F.transform(c, lambda v: v.cast("string")), "-").alias("cell")
+
+
+_P = "p AS (SELECT label::BIGINT AS space_id, vec_id AS v, embedding::DOUBLE[] AS x FROM embeddings)"
+_D = _P + ", dist AS (SELECT a.space_id, a.v AS src, b.v AS dst, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.space_id = b.space_id AND a.v < b.v)"
+_E = _D + f", e AS (SELECT * FROM dist WHERE d < {TRIANGLE})"
+_T = _E + ", t AS (SELECT a.space_id, a.src AS i, a.dst AS j, b.dst AS k, greatest(a.d, b.d, c.d) AS f FROM e a JOIN e b ON a.space_id = b.space_id AND a.dst = b.src JOIN e c ON c.space_id = a.space_id AND c.src = a.src AND c.dst = b.dst)"
+_CELLS = _T + ", cells AS (SELECT space_id, [v] AS cell, 0 AS dim, 0.0::DOUBLE AS f FROM p UNION ALL SELECT space_id, [src, dst], 1, d FROM e UNION ALL SELECT space_id, [i, j, k], 2, f FROM t)"
+
+
+@query(f"WITH {_D} SELECT space_id, src, dst, round(d, 6) AS d FROM dist")
+def pairwise_distance(spark, sf_dir):
+    return M.distances(spaces(spark, sf_dir)).select("space_id", "src", "dst", _d())
+
+
+@query(f"WITH {_D} SELECT space_id, src, dst, CASE WHEN d > 1.4 THEN 'infinity'::DOUBLE ELSE round(d, 6) END AS d FROM dist")
+def sparse_metric(spark, sf_dir):
+    return source.sparse(M.distances(spaces(spark, sf_dir)), 1.4).select("space_id", "src", "dst", _d())
+
+
+@query(f"WITH {_D} SELECT space_id, src AS v, dst AS w FROM dist WHERE d <= 1.25 UNION ALL SELECT space_id, dst, src FROM dist WHERE d <= 1.25 UNION ALL SELECT space_id, v, v FROM p")
+def eps_neighbors(spark, sf_dir):
+    points = spaces(spark, sf_dir)
+    return M.neighbours(points, M.distances(points), 1.25)
+
+
+@query(f"WITH {_D}, b AS (SELECT space_id, src AS v, d FROM dist UNION ALL SELECT space_id, dst, d FROM dist) SELECT space_id, round(min(m), 6) AS r FROM (SELECT space_id, v, max(d) AS m FROM b GROUP BY ALL) GROUP BY space_id")
+def enclosing_radius(spark, sf_dir):
+    return M.minimum_enclosing_radius(M.distances(spaces(spark, sf_dir))).select("space_id", _d("r"))
+
+
+@query(f"WITH {_D} SELECT space_id, src, dst, round(d, 6) AS d FROM dist WHERE d < {EDGE}")
+def rips_edges_strict(spark, sf_dir):
+    return M.edges(spaces(spark, sf_dir), EDGE).select("space_id", "src", "dst", _d())
+
+
+@query(f"WITH {_D} SELECT space_id, src, dst, round(d, 6) AS d FROM dist WHERE d <= {EDGE}")
+def rips_edges_inclusive(spark, sf_dir):
+    return M.edges(spaces(spark, sf_dir), EDGE, inclusive=True).select("space_id", "src", "dst", _d())
+
+
+def complex_of(spark, sf_dir, max_dim: int = 2) -> DataFrame:
+    return rips.vietoris_rips(spaces(spark, sf_dir), TRIANGLE, max_dim)
+
+
+@query(f"WITH {_T} SELECT space_id, concat_ws('-', i, j, k) AS cell, round(f, 6) AS f FROM t")
+def rips_triangles(spark, sf_dir):
+    return complex_of(spark, sf_dir).filter("dim = 2").select("space_id", _name(), _d("f"))
+
+
+@query(f"WITH {_T} SELECT a.space_id, concat_ws('-', a.i, a.j, a.k, b.k) AS cell, round(greatest(a.f, b.f, x.d), 6) AS f FROM t a JOIN t b ON a.space_id = b.space_id AND a.i = b.i AND a.j = b.j AND a.k < b.k JOIN e x ON x.space_id = a.space_id AND x.src = a.k AND x.dst = b.k")
+def rips_tetrahedra(spark, sf_dir):
+    return complex_of(spark, sf_dir, 3).filter("dim = 3").select("space_id", _name(), _d("f"))
+
+
+@query(f"WITH {_CELLS} SELECT space_id, dim, count(*) AS n FROM cells GROUP BY ALL")
+def rips_f_vector(spark, sf_dir):
+    return rips.f_vector(complex_of(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS} SELECT space_id, sum(CASE WHEN dim % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS chi FROM cells GROUP BY ALL")
+def rips_euler(spark, sf_dir):
+    return rips.euler_characteristic(complex_of(spark, sf_dir))
+
+
+@query(f"WITH {_T} SELECT space_id, concat_ws('-', i, j, k) AS cell, (i + j * (j - 1) // 2 + k * (k - 1) * (k - 2) // 6)::BIGINT AS idx FROM t")
+def simplex_index(spark, sf_dir):
+    return complex_of(spark, sf_dir).filter("dim = 2").select("space_id", _name(), S.index(F.col("cell")).alias("idx"))
+
+
+@query("WITH v AS (SELECT range AS v FROM range(12)) SELECT concat_ws('-', a.v, b.v, c.v) AS cell, (a.v + b.v * (b.v - 1) // 2 + c.v * (c.v - 1) * (c.v - 2) // 6)::BIGINT AS idx FROM v a JOIN v b ON a.v < b.v JOIN v c ON b.v < c.v")
+def simplex_unindex(spark, sf_dir):
+    return spark.range(220).select(F.col("id").alias("idx"), S.from_index(F.col("id"), 3, 12).alias("cell")).select(_name(), "idx")
+
+
+@query(f"WITH {_T} SELECT space_id, concat_ws('-', i, j, k) AS cell, unnest([concat_ws('-', j, k), concat_ws('-', i, k), concat_ws('-', i, j)]) AS facet, unnest([1, -1, 1])::BIGINT AS coeff FROM t")
+def boundary_matrix(spark, sf_dir):
+    rows = S.facets(complex_of(spark, sf_dir).filter("dim = 2"))
+    return rows.select("space_id", _name(), F.array_join(F.transform("facet", lambda v: v.cast("string")), "-").alias("facet"), "coeff")
+
+
+@query("SELECT 0::BIGINT AS n")
+def boundary_squared_zero(spark, sf_dir):
+    cells = complex_of(spark, sf_dir).filter("dim = 2")
+    own = cells.select(F.concat_ws(":", "space_id", _name()).alias("chain_id"), "cell", F.lit(1.0).alias("coeff"))
+    return chains.boundary(chains.boundary(own)).agg(F.count("*").alias("n"))
+
+
+_V = "v AS (SELECT range AS v FROM range(10)), c AS (SELECT a.v AS i, b.v AS j FROM v a JOIN v b ON a.v < b.v)"
+
+
+def _edges_of_ten(spark):
+    return spark.range(45).select(S.from_index(F.col("id"), 2, 10).alias("cell"))
+
+
+@query(f"WITH {_V} SELECT concat_ws('-', i, j) AS cell, array_to_string(list_sort([i, j, v]), '-') AS cofacet FROM c, v WHERE v <> i AND v <> j")
+def cofacets(spark, sf_dir):
+    return S.cofacets(_edges_of_ten(spark), 10).select(_name(), F.array_join(F.transform("cofacet", lambda v: v.cast("string")), "-").alias("cofacet"))
+
+
+@query(f"WITH {_V} SELECT concat_ws('-', i, j) AS cell, concat_ws('-', i, j, v) AS cofacet FROM c, v WHERE v > j")
+def top_cofacets(spark, sf_dir):
+    return S.cofacets(_edges_of_ten(spark), 10, top_only=True).select(_name(), F.array_join(F.transform("cofacet", lambda v: v.cast("string")), "-").alias("cofacet"))
+
+
+@query(f"""WITH {_CELLS}, inc AS (
+  SELECT c.space_id, {{'f': b.f, 'dim': b.dim, 'cell': b.cell}} AS birth, {{'f': c.f, 'dim': c.dim, 'cell': c.cell}} AS death FROM cells c JOIN cells b ON b.space_id = c.space_id AND b.dim = c.dim - 1 AND list_has_all(c.cell, b.cell)),
+ l AS (SELECT space_id, death, max(birth) AS birth FROM inc GROUP BY ALL), m AS (SELECT space_id, birth, min(death) AS death FROM inc GROUP BY ALL)
+SELECT l.space_id, array_to_string(l.birth.cell, '-') AS birth, array_to_string(l.death.cell, '-') AS death FROM l JOIN m ON l.space_id = m.space_id AND l.birth = m.birth AND l.death = m.death""")
+def apparent_pairs(spark, sf_dir):
+    def name(c):
+        return F.array_join(F.transform(f"{c}.cell", lambda v: v.cast("string")), "-").alias(c)
+
+    return rips.apparent_pairs(complex_of(spark, sf_dir)).select("space_id", name("birth"), name("death"))
+
+
+_CH = "ch AS (SELECT l_orderkey % 100 AS chain_id, [l_partkey % 20, 20 + l_suppkey % 20, 40 + l_linenumber] AS cell, l_linenumber - 3.0 AS coeff FROM lineitem)"
+
+
+def _chains(spark, sf_dir) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cell = F.array(F.col("l_partkey") % 20, F.col("l_suppkey") % 20 + 20, (F.col("l_linenumber") + 40).cast("long"))
+    return rows.select((F.col("l_orderkey") % 100).alias("chain_id"), cell.alias("cell"), (F.col("l_linenumber") - 3.0).cast("double").alias("coeff"))
+
+
+@query(f"WITH {_CH} SELECT chain_id, array_to_string(cell, '-') AS cell, sum(coeff)::DOUBLE AS coeff FROM ch GROUP BY chain_id, ch.cell HAVING abs(sum(coeff)) >= 1e-9")
+def chain_collapse(spark, sf_dir):
+    return chains.collapse(_chains(spark, sf_dir)).select("chain_id", _name(), "coeff")
+
+
+@query(f"WITH {_CH} SELECT chain_id, array_to_string(cell, '-') AS cell, (sum(coeff) * 2.5)::DOUBLE AS coeff FROM ch GROUP BY chain_id, ch.cell HAVING abs(sum(coeff)) >= 1e-9")
+def chain_scale(spark, sf_dir):
+    return chains.scale(_chains(spark, sf_dir), 2.5).select("chain_id", _name(), "coeff")
+
+
+@query("SELECT chain_id, true AS equal FROM (SELECT DISTINCT l_orderkey % 100 AS chain_id FROM lineitem)")
+def chain_minus_itself(spark, sf_dir):
+    own = _chains(spark, sf_dir)
+    return chains.equal(chains.plus(own, chains.minus(own, own)), own)
+
+
+@query(f"WITH {_CH}, b AS (SELECT chain_id, unnest([[cell[2], cell[3]], [cell[1], cell[3]], [cell[1], cell[2]]]) AS face, unnest([coeff, -coeff, coeff]) AS c FROM ch) SELECT chain_id, array_to_string(face, '-') AS cell, sum(c)::DOUBLE AS coeff FROM b GROUP BY chain_id, b.face HAVING abs(sum(c)) >= 1e-9")
+def chain_boundary(spark, sf_dir):
+    return chains.boundary(_chains(spark, sf_dir)).select("chain_id", _name(), "coeff")
+
+
+_N = "CASE WHEN {0} > 8 THEN {0} - 17 ELSE {0} END"
+
+
+@query("WITH n AS (SELECT range - 40 AS a FROM range(81)), p AS (SELECT x.a, y.a AS b, (((x.a + y.a) % 17) + 17) % 17 AS s, (((x.a * y.a) % 17) + 17) % 17 AS m FROM n x, n y) SELECT a, b, " + _N.format("s") + " AS plus, " + _N.format("m") + " AS times FROM p")
+def fp_arith(spark, sf_dir):
+    f = fields.Prime(17)
+    rows = spark.range(81 * 81).select((F.floor(F.col("id") / 81) - 40).alias("a"), (F.col("id") % 81 - 40).alias("b"))
+    return rows.select("a", "b", f.plus(F.col("a"), F.col("b")).alias("plus"), f.times(F.col("a"), F.col("b")).alias("times"))
+
+
+@query("WITH n AS (SELECT range AS a FROM range(1, 17)) SELECT x.a, " + _N.format("y.a") + " AS inverse FROM n x JOIN n y ON (x.a * y.a) % 17 = 1")
+def fp_inverse(spark, sf_dir):
+    return spark.range(1, 17).select(F.col("id").alias("a"), fields.Prime(17).invert(F.col("id")).alias("inverse"))
+
+
+@query(f"WITH RECURSIVE {_D}, g AS (SELECT space_id, src AS a, dst AS b FROM dist WHERE d < {EDGE} UNION ALL SELECT space_id, dst, src FROM dist WHERE d < {EDGE}), r AS (SELECT space_id, v, v AS w FROM p UNION SELECT r.space_id, r.v, g.b FROM r JOIN g ON g.space_id = r.space_id AND g.a = r.w) SELECT space_id, v, min(w) AS component FROM r GROUP BY ALL")
+def components_at(spark, sf_dir):
+    points = spaces(spark, sf_dir)
+    return spanning.components_at(points, M.edges(points), EDGE)
+
+
+@query(f"WITH RECURSIVE {_D}, g AS (SELECT space_id, src AS a, dst AS b FROM dist WHERE d < {EDGE} UNION ALL SELECT space_id, dst, src FROM dist WHERE d < {EDGE}), r AS (SELECT space_id, v, v AS w FROM p UNION SELECT r.space_id, r.v, g.b FROM r JOIN g ON g.space_id = r.space_id AND g.a = r.w), c AS (SELECT space_id, v, min(w) AS k FROM r GROUP BY ALL) SELECT space_id, ((SELECT count(*) FROM dist WHERE d < {EDGE} AND dist.space_id = c.space_id) - count(*) + count(DISTINCT k))::BIGINT AS betti1 FROM c GROUP BY space_id")
+def graph_betti1(spark, sf_dir):
+    bars = homology.persistent_homology(rips.vietoris_rips(spaces(spark, sf_dir), EDGE, 1))
+    ones = bars.groupBy("space_id").agg(F.sum(F.when(F.col("dim") == 1, 1).otherwise(0)).cast("long").alias("betti1"))
+    return ones
+
+
+@query()
+def mst_edges(spark, sf_dir):
+    points = spaces(spark, sf_dir)
+    return spanning.kruskal(points, M.edges(points)).select("space_id", "src", "dst", _d())
+
+
+@query(f"WITH {_P} SELECT space_id, count(*) - 1 AS n FROM p GROUP BY space_id")
+def mst_size(spark, sf_dir):
+    points = spaces(spark, sf_dir)
+    return spanning.kruskal(points, M.edges(points)).groupBy("space_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_D} SELECT space_id, (count(*) - (SELECT count(*) - 1 FROM p WHERE p.space_id = dist.space_id))::BIGINT AS n FROM dist GROUP BY space_id")
+def non_tree_edges(spark, sf_dir):
+    points = spaces(spark, sf_dir)
+    return spanning.non_tree_edges(points, M.edges(points)).groupBy("space_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CELLS} SELECT space_id, sum(CASE WHEN dim % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS chi FROM cells WHERE f < 1.33 GROUP BY ALL")
+def persistence_euler_check(spark, sf_dir):
+    bars = homology.diagram_at(homology.persistent_homology(complex_of(spark, sf_dir)), 1.33).filter("death = double('infinity')")
+    return bars.groupBy("space_id").agg(F.sum(F.when(F.col("dim") % 2 == 0, 1).otherwise(-1)).alias("chi"))
+
+
+@query()
+def persistence_h1(spark, sf_dir):
+    return homology.persistent_homology(complex_of(spark, sf_dir)).filter("dim <= 1").select("space_id", "dim", _d("birth"), _d("death"))
+
+
+@query()
+def representative_cycles(spark, sf_dir):
+    bars = homology.persistent_homology(complex_of(spark, sf_dir), field=fields.Reals()).filter("dim = 1 AND death > birth")
+    return bars.select("space_id", _d("birth"), _d("death"), text.show_chain(F.col("cycle")).alias("cycle"))
+
+
+@query()
+def fundamental_cycles(spark, sf_dir):
+    points = spaces(spark, sf_dir)
+    return spanning.fundamental_cycles(points, M.edges(points, EDGE)).select("space_id", "src", "dst", text.show_chain(F.col("cycle")).alias("cycle"))
+
+
+@query("SELECT * FROM (VALUES ('0: [0.0,1.0)'), ('0: [0.0,2.0)'), ('0: [0.0,∞)'), ('1: [3.0,4.0)')) AS t(bar)")
+def barcode_strings(spark, sf_dir):
+    from skeinlab.sources.cells import ExplicitBuilder
+
+    rows = [(0, [1]), (0, [2]), (0, [3]), (1, [1, 2]), (2, [1, 3]), (3, [2, 3]), (4, [1, 2, 3])]
+    bars = homology.persistent_homology(ExplicitBuilder().add_all(rows).result(spark))
+    return homology.barcode_at(bars, 5.0).select(intervals.show(F.col("bar")).alias("bar"))
+
+
+def _bars(spark, rows):
+    return spark.createDataFrame([(m, k, float(a), float(b)) for m, k, a, b in rows], "map_id long, k long, lower double, upper double")
+
+
+def _example(spark):
+    mat = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 1.0), (0, 1, 1, 1.0)], "map_id long, row long, col long, x double")
+    return _bars(spark, [(0, 0, 2, 5), (0, 1, 3, 7)]), _bars(spark, [(0, 0, 1, 6), (0, 1, 0, 4)]), mat
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 3.0::DOUBLE, 6.0::DOUBLE), (0, 2.0, 4.0)) AS t(map_id, lower, upper)")
+def barcode_image(spark, sf_dir):
+    return barcode.image(*_example(spark))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 6.0::DOUBLE, 7.0::DOUBLE), (0, 4.0, 5.0)) AS t(map_id, lower, upper)")
+def barcode_kernel(spark, sf_dir):
+    return barcode.kernel(*_example(spark))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 0.0::DOUBLE, 2.0::DOUBLE), (0, 1.0, 3.0)) AS t(map_id, lower, upper)")
+def barcode_cokernel(spark, sf_dir):
+    return barcode.cokernel(*_example(spark))
+
+
+@query("WITH b AS (SELECT s_suppkey AS map_id, floor(s_acctbal / 1000)::DOUBLE AS l, (s_suppkey % 7)::DOUBLE + floor(s_acctbal / 1000) AS u FROM supplier) SELECT map_id, (l >= l - map_id % 3 AND u >= l - map_id % 3 + map_id % 5 AND l <= l - map_id % 3 + map_id % 5 AND u >= l - map_id % 3) AS valid FROM b")
+def barcode_map_valid(spark, sf_dir):
+    low = F.floor(F.col("s_acctbal") / 1000).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("map_id"), F.lit(0).alias("k"), low.alias("lower"), (low + F.col("s_suppkey") % 7).alias("upper"))
+    start = F.col("lower") - F.col("map_id") % 3
+    target = rows.select("map_id", "k", start.alias("lower"), (start + F.col("map_id") % 5).alias("upper"))
+    mat = rows.select("map_id", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.0).alias("x"))
+    return barcode.is_map(rows, target, mat)
+
+
+@query("WITH v AS (SELECT range AS v FROM range(16)) SELECT 0::BIGINT AS space_id, a.v AS src, b.v AS dst, bit_count(xor(a.v, b.v))::DOUBLE AS d FROM v a JOIN v b ON a.v < b.v")
+def hypercube_distance(spark, sf_dir):
+    return M.distances(source.hypercube(spark, 4), source.hamming)
+
+
+_ACT = "perm AS (SELECT * FROM (VALUES (0,0,1,2),(1,0,2,1),(2,1,0,2),(3,1,2,0),(4,2,0,1),(5,2,1,0)) AS t(g, a, b, c)), act AS (SELECT g, v, ((v & 1) << a) + (((v >> 1) & 1) << b) + (((v >> 2) & 1) << c) AS gv FROM perm, (SELECT range AS v FROM range(8))), ed AS (SELECT x.range AS i, y.range AS j FROM range(8) x, range(8) y WHERE x.range < y.range), img AS (SELECT DISTINCT i, j, least(p.gv, q.gv) AS a, greatest(p.gv, q.gv) AS b FROM ed JOIN act p ON p.v = i JOIN act q ON q.v = j AND q.g = p.g)"
+
+
+def _cube_edges(spark):
+    return spark.range(28).select(S.from_index(F.col("id"), 2, 8).alias("cell"))
+
+
+@query(f"WITH {_ACT} SELECT concat_ws('-', i, j) AS cell, concat_ws('-', a, b) AS image FROM img")
+def orbits(spark, sf_dir):
+    return symmetry.orbits(_cube_edges(spark), symmetry.hypercube_action(spark, 3)).select(_name(), F.array_join(F.transform("image", lambda v: v.cast("string")), "-").alias("image"))
+
+
+@query(f"WITH {_ACT}, m AS (SELECT i, j, min([a, b]) AS r FROM img GROUP BY ALL) SELECT concat_ws('-', i, j) AS cell FROM m WHERE r = [i, j]")
+def orbit_representatives(spark, sf_dir):
+    kept = symmetry.only_representatives(_cube_edges(spark), symmetry.hypercube_action(spark, 3), symmetry.hypercube_generators(spark, 3))
+    return kept.select(_name())
+
+
+@query("WITH v AS (SELECT range AS v FROM range(8)) SELECT concat_ws('-', a.v, b.v) AS cell FROM v a JOIN v b ON a.v < b.v")
+def expand_orbits(spark, sf_dir):
+    action = symmetry.hypercube_action(spark, 3)
+    return symmetry.expand(symmetry.only_representatives(_cube_edges(spark), action), action).select("cell").select(_name())
+
+
+def torus() -> simplicial.SimplicialSet:
+    return simplicial.product(simplicial.sphere(1), simplicial.sphere(1))
+
+
+@query("SELECT * FROM (VALUES (0, 1::BIGINT), (1, 3), (2, 2)) AS t(dim, n)")
+def sset_product_cells(spark, sf_dir):
+    return torus().cells(spark).groupBy("dim").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 0::BIGINT AS chi")
+def sset_euler(spark, sf_dir):
+    return rips.euler_characteristic(torus().cells(spark)).select("chi")
+
+
+@query("SELECT * FROM (VALUES (0, 0.0::DOUBLE, 'infinity'::DOUBLE), (1, 1.0, 2.0), (1, 1.0, 'infinity'), (1, 1.0, 'infinity'), (2, 2.0, 'infinity')) AS t(dim, birth, death)")
+def sset_torus_homology(spark, sf_dir):
+    own = torus()
+    bars = homology.persistent_homology(own.cells(spark, f=lambda g, d: d), own.boundary(spark), fields.Reals())
+    return homology.diagram_at(bars, 5.0).select("dim", "birth", "death")
+
+
+@query("WITH p AS (SELECT vec_id AS v, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE label = 0) SELECT concat_ws('-', a.v, b.v) AS cell FROM p a JOIN p b ON a.v < b.v WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.v <> a.v AND c.v <> b.v AND sqrt(pow(c.x - (a.x + b.x) / 2, 2) + pow(c.y - (a.y + b.y) / 2, 2)) < sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 2 * (1 - 1e-9))")
+def gabriel_edges(spark, sf_dir):
+    points = spaces(spark, sf_dir).filter("space_id = 0").withColumn("coords", F.slice("coords", 1, 2))
+    return rips.gabriel(points, 1).filter("dim = 1").select(_name())
+
+
+@query("SELECT n_nationkey, translate(n_nationkey::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') AS raised, translate(n_nationkey::VARCHAR, '0123456789', '₀₁₂₃₄₅₆₇₈₉') AS lowered FROM nation")
+def unicode_labels(spark, sf_dir):
+    key = F.col("n_nationkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", text.superscript(key).alias("raised"), text.subscript(key).alias("lowered"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Barcode in dimensions 0 and 1 of the complex of the first forty embeddings, at all scales."""
+    ship(spark)
+    points = source.euclidean(spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 40"), F.col("vec_id"), F.col("embedding"))
+    bars = homology.persistent_homology(rips.vietoris_rips(points, max_dim=2))
+    return bars.filter("dim < 2").select("dim", _d("birth"), _d("death"))

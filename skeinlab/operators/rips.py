@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +135,6 @@ def _empty(balls: DataFrame, points: DataFrame, own_vertices: str) -> DataFrame:
 
 
 def _ball(name: str) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("centre array<double>, radius double")
     def ball(corners: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([smallest_ball([list(x) for x in c]) for c in corners], columns=["centre", "radius"])

@@ -68,15 +68,16 @@ def index(cell: Column) -> Column:
 
 def from_index(number: Column, size: int, n: int) -> Column:
     """The simplex of ``size`` of n vertices at a place; each vertex is the largest that still fits."""
-    vertices, rest = [], number.cast("long")
-    for k in range(size, 0, -1):
-        fitting = _largest(rest, k, n)
-        vertices.append(fitting)
-        rest = rest - binomial(fitting, k)
-    return F.array(*reversed(vertices))
 
+    def step(acc: Column, k: Column) -> Column:
+        chosen = F.array(_largest(acc["rest"], k, n))
+        return F.get(F.transform(chosen, lambda v: F.struct((acc["rest"] - binomial(v, k)).alias("rest"), F.concat(F.array(v), acc["cell"]).alias("cell"))), F.lit(0))
 
-def _largest(rest: Column, k: int, n: int) -> Column:
+    start = F.struct(number.cast("long").alias("rest"), F.expr("cast(array() as array<bigint>)").alias("cell"))
+    return F.aggregate(F.sequence(F.lit(size), F.lit(1), F.lit(-1)), start, step, lambda acc: acc["cell"])
+
+
+def _largest(rest: Column, k: Column, n: int) -> Column:
     return F.array_max(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda v: binomial(v, k) <= rest))
 
 

@@ -46,8 +46,8 @@ def repeated_words(words: Column, k: int = 5) -> Column:
         def twice(s: Column) -> Column:
             return F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["i"]))
 
-        ordered = F.array_sort(F.transform(run, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.array_sort(F.filter(let(ordered, twice), lambda p: p.isNotNull()))
+        ordered = F.sort_array(F.transform(run, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.sort_array(F.filter(let(ordered, twice), lambda p: p.isNotNull()))
 
     def cover(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.when(i == 0, k).otherwise(F.least(F.lit(k), x - F.get(p, i - 1)))), F.lit(0), lambda a, x: a + x)
@@ -69,7 +69,7 @@ def _facts(documents: DataFrame) -> DataFrame:
         lists = F.when(F.col("lang") == lang, F.array(*map(F.lit, words))).otherwise(lists)
 
     def found(common: Column) -> Column:
-        return F.transform(F.coalesce(lists, F.array().cast("array<string>")), lambda c: F.size(F.filter(common, lambda w: w == c)).cast("long"))
+        return F.transform(F.coalesce(lists, F.array().cast("array<string>")), lambda c: (F.size(common) - F.size(F.array_remove(common, c))).cast("long"))
 
     common = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
     rows = rows.select(

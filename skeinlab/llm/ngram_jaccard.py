@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skeinlab.llm import _text as X
 from skeinlab.llm.components import connected_components
-from skeinlab.storage import write_table
+from skeinlab.storage import drop_table, write_table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS, LAMBDA, BRUTE, DEPTH, BLOCK = 64, 0.7, 256, 4, 512
@@ -74,10 +74,11 @@ def sets(texts: X.Texts, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _sampled(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, key (null: no words or no doc_id), the sampled tokens (TOKENS 32-bit words) and brief, the top byte of each.
+    """doc_id, key (null: no words or no doc_id), the sampled tokens (TOKENS 32-bit words) and brief, the low byte of each.
 
     Buckets are compared by brief, which is a quarter as long in the shuffle. Equal tokens have equal bytes, so no
-    candidate is lost; unequal ones agree in one of 256 cases, which the exact check sorts out.
+    candidate is lost; unequal ones agree in one of 256 cases, which the exact check sorts out. The
+    tokens are minima, so their high bytes are nearly all zero and would not do.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def _sampled(documents: DataFrame, words: int) -> DataFrame:
                         least[full, i] = np.minimum.reduceat(values * _COORDINATES[i], at[full]) >> np.uint64(32)
                 keys.append(X.signed(key))
                 rows.extend(r.tobytes() for r in least)
-                briefs.extend(r.tobytes() for r in (least >> np.uint32(24)).astype(np.uint8))
+                briefs.extend(r.tobytes() for r in least.astype(np.uint8))
             key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             none = (key == 0) | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.int64(), mask=none), pa.array(rows, pa.binary(), mask=none), pa.array(briefs, pa.binary(), mask=none)], ["doc_id", "key", "tokens", "brief"])
@@ -184,15 +185,16 @@ def _compare_sampled(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(each, "a long, b long")
 
 
-def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Links (a, b) between keys of nodes (key, tokens, brief) that may be as alike as the threshold."""
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between keys of nodes (key, tokens, brief) that may be as alike as the threshold, and the tables they are read from."""
     own = nodes.select("key", "tokens")
     brief = nodes.select(F.col("key").alias("k"), "brief")
     rows = _split(own, runs_needed(recall, threshold))
-    found = None
+    found, tables = None, []
     for level in range(1, DEPTH + 1):
         buckets = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter("n > 1").withColumnRenamed("path", "bucket")
         met = write_table(rows.join(buckets, F.col("path") == F.col("bucket")).select("path", "key", "n", "least"), f"paths-{level}")
+        tables.append(met)
         small = met.filter(F.col("n") <= BRUTE)
         links = _compare_sampled(small.join(brief, F.col("key") == F.col("k")).select("path", "key", "brief"), threshold)
         large = met.filter(F.col("n") > BRUTE)
@@ -203,7 +205,7 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = R
             if large.isEmpty():
                 break
             rows = _split(large.join(own.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("path", "key", "tokens"))
-    return found
+    return found, tables
 
 
 def _exact(rows: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -274,7 +276,10 @@ def join(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
     documents = documents.select("doc_id", "text")
     sampled = write_table(_sampled(documents, words), "sampled")
     nodes = write_table(sampled.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("brief").alias("brief")), "nodes")
-    groups = connected_components(candidates(nodes, threshold, recall), "groups").withColumnRenamed("component", "grp")
+    links, paths = candidates(nodes, threshold, recall)
+    groups = connected_components(links, "groups").withColumnRenamed("component", "grp")
+    for table in paths:
+        drop_table(table)
     sizes = groups.groupBy("grp").agg(F.count("*").alias("m")).withColumnRenamed("grp", "g")
     blocks = F.ceil(F.col("m") / BLOCK)
     members = groups.join(sizes, F.col("grp") == F.col("g")).withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")))

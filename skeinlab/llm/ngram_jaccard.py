@@ -159,6 +159,19 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         yield held
 
 
+def _agreements(brief: np.ndarray) -> np.ndarray:
+    """Of every two rows, in how many of the TOKENS bytes they agree; sums of bytes stay in bytes."""
+    if len(brief) <= 32:
+        return np.add.reduce((brief[:, None] == brief[None, :]).view(np.uint8), axis=2, dtype=np.uint8)
+    columns = np.ascontiguousarray(brief.T)
+    same = np.zeros((len(brief), len(brief)), np.uint8)
+    equal = np.empty(same.shape, bool)
+    for c in columns:
+        np.equal(c[:, None], c[None, :], out=equal)
+        np.add(same, equal.view(np.uint8), out=same)
+    return same
+
+
 def _compare_sampled(rows: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that hold together the sets of a bucket whose sampled tokens agree well enough."""
     least = math.floor(TOKENS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / TOKENS)))
@@ -169,10 +182,7 @@ def _compare_sampled(rows: DataFrame, threshold: float) -> DataFrame:
             key = np.concatenate([x.column("key").to_numpy() for x in held])
             if len(key) > 1:
                 tokens = np.concatenate([_matrix(x.column("brief"), np.uint8) for x in held])
-                same = np.zeros((len(key), len(key)), np.int16)
-                for i in range(TOKENS):
-                    same += tokens[:, None, i] == tokens[None, :, i]
-                root = _forest(len(key), *np.nonzero(np.triu(same >= least, 1)))
+                root = _forest(len(key), *np.nonzero(np.triu(_agreements(tokens) >= least, 1)))
                 moved = root != np.arange(len(key))
                 a.append(key[moved])
                 b.append(key[root[moved]])

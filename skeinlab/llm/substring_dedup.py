@@ -1,13 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may follow), at a line
-break and at the end of the text. From every sentence a span slides forward: the shortest run of at
-least ``sentences`` consecutive sentences that has at least ``min_words`` words; a sentence that long is a span
-by itself. Every span is hashed (its
+break and at the end of the text. From every sentence a span slides forward and another one backward: the
+shortest run of at least ``sentences`` consecutive sentences, from that one on or up to it, that has at least
+``min_words`` words; a sentence that long is a span by itself. Every span is hashed (its
 words, whatever white space parts them), all spans are joined by hash, and each sentence that a
 non-first repeated span covers is removed, the white space behind it with it. First is the span
 with the least (doc_id, hash of text, sentence).
 
+That removes the same as spans of every length would: in a repeated run long enough, the span forward from its
+first sentence lies within it, and so does the span backward from each sentence that this one doesn't reach.
+
 A text shorter than a span has none and stays. Null text: stays null. Rows without doc_id stay and take no part. Rows that repeat
 both doc_id and text count as one text. Hashes have 64 bits.
 """
@@ -47,7 +50,7 @@ def sentences(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def spans(texts: X.Texts, least: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first sentence within its text, and number of sentences of every span."""
+    """Hash, text, first sentence within its text, and number of sentences of every span; one that is shortest both ways comes once."""
     start, end, edge, at, _ = sentences(texts)
     n = len(edge) - 1
     if n < 1:
@@ -56,8 +59,10 @@ def spans(texts: X.Texts, least: int, min_words: int) -> tuple[np.ndarray, np.nd
     first = np.arange(n)
     of = np.searchsorted(at, first, "right") - 1
     stop = np.maximum(np.searchsorted(edge, edge[:-1] + min_words), first + least)
-    fits = stop <= at[of + 1]
-    first, stop, of = first[fits], stop[fits], of[fits]
+    back = np.minimum(np.searchsorted(edge, edge[1:] - min_words, "right") - 1, first + 1 - least)
+    fits, ends = stop <= at[of + 1], back >= at[of]
+    ends[ends] = stop[back[ends]] != first[ends] + 1
+    first, stop, of = np.append(first[fits], back[ends]), np.append(stop[fits], first[ends] + 1), np.append(of[fits], of[ends])
     return X.span_hashes(words, edge[first], edge[stop]), of, first - at[of], stop - first
 
 

@@ -146,6 +146,44 @@ def test_substring_dedup(spark, odd, docs):
     assert substring_dedup.dedup(odd).count() == odd.count() and substring_dedup.dedup(empty(docs)).count() == 0
 
 
+def test_substring_dedup_is_every_run(spark, docs):
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def cut(text):
+        out, own, words = [], [], list(word.finditer(text))
+        for k, m in enumerate(words):
+            own.append(m[0])
+            gap = text[m.end() : words[k + 1].start()] if k + 1 < len(words) else "\n"
+            if re.search(r"""[.!?]["')\]}]{0,2}$""", m[0]) or "\n" in gap:
+                out.append(own)
+                own = []
+        return out
+
+    def brute(texts, least=24, most=120):
+        sents, seen, gone = {d: cut(t) for d, t in texts.items()}, set(), {}
+        for d in sorted(sents):
+            own, gone[d] = sents[d], set()
+            for i in range(len(own)):
+                run = []
+                for j in range(i, len(own)):
+                    run += own[j]
+                    if len(run) >= least:
+                        if tuple(run) in seen:
+                            gone[d].update(range(i, j + 1))
+                        seen.add(tuple(run))
+                        if len(run) > most:
+                            break
+        return {d: (len(sents[d]), len(gone[d])) for d in sents}
+
+    def passage(*sizes):
+        return " ".join(" ".join(f"p{n}w{k}" for k in range(n)) + "." for n in sizes)
+
+    rows = [(1, f"First one here. {passage(5, 24, 23)} Tail of one."), (2, f"Another start. {passage(5, 24, 23)} More text."), (3, passage(9, 10, 11, 12, 4)), (4, passage(9, 10, 11, 12, 4))]
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].text == "Another start. More text." and got[4].text == "" and {d: (r.n_sentences, r.n_removed) for d, r in got.items()} == brute(dict(rows))
+    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in substring_dedup.dedup(docs).collect()} == brute({r.doc_id: r.text for r in docs.collect()})
+
+
 def test_fingerprints_of_edited_texts(docs, odd):
     for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
         rows = sorted((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect())

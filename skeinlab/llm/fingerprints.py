@@ -2,11 +2,10 @@
 
 A window of K bytes is an anchor if the smallest of its inner windows of S bytes (by a 32-bit hash) is its
 first or its last one. That depends on the window alone, so a text that holds a passage holds the
-passage's anchors too. A fingerprint keeps the SIZE distinct anchors with the smallest hashes and the
-place of each one's first occurrence: a fixed-size sample of the whole text's anchors, the same for
-equal texts. Two fingerprints are compared by position: of the anchors that the sketch of their union keeps,
-those that both have and whose places rise in both (a longest chain) are counted; that share is
-the likeness. Two empty texts: 1. An empty and another text: 0.
+passage's anchors too. A fingerprint keeps every anchor and its place, in the order of the text, so its size
+is in proportion to the text's. Two fingerprints are compared by position: of the anchors of their union (an anchor
+as often as in the text that has it more often), those that both have and whose places rise in both (a
+longest chain) are counted; that share is the likeness. Two empty texts: 1. An empty and another text: 0.
 
 A text of fewer than K bytes has one anchor, itself. A null text is an empty one.
 """
@@ -15,8 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,9 @@ from pyspark.sql import functions as F
 
 from skeinlab.llm import _text as X
 
-K, S, SIZE = 16, 6, 96
+K, S = 16, 6
+#: Rows and characters that are worked on at once.
+ROWS, CHARS = 256, 1 << 22
 
 
 def anchors(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,19 +52,14 @@ def anchors(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, chosen - texts.bounds[of], np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def sketch(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, first = np.unique(hashes, return_index=True)
-    return values[:SIZE], places[first[:SIZE]]
-
-
-def sketches(rows: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def prints(rows: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     column = pa.array(rows, pa.large_binary())
     for _, _, texts in X.slices(column):
         hashes, places, before = anchors(texts)
         for i in range(len(texts)):
             if before[i] < before[i + 1]:
-                out.append(sketch(hashes[before[i] : before[i + 1]], places[before[i] : before[i + 1]]))
+                out.append((hashes[before[i] : before[i + 1]], places[before[i] : before[i + 1]]))
             else:
                 whole = texts.bytes(i)
                 out.append((np.frombuffer(hashlib.sha256(whole).digest()[:4], np.uint32)[: len(whole)], np.zeros(min(1, len(whole)), np.int64)))
@@ -79,15 +74,44 @@ def write(fp: tuple[np.ndarray, np.ndarray]) -> str:
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])[:SIZE]
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    kept = a[0][i] <= union[-1]
-    i, j = i[kept], j[kept]
-    chain: list[int] = []
-    for place in b[1][j][np.argsort(a[1][i], kind="stable")].tolist():
-        k = bisect_left(chain, place)
-        chain[k : k + 1] = [place]
-    return len(chain) / len(union)
+    x, y = a[0], b[0]
+    n = min(len(x), len(y))
+    head = int(np.append(x[:n] != y[:n], True).argmax())
+    n -= head
+    tail = int(np.append(True, x[len(x) - n :] != y[len(y) - n :])[::-1].argmax())
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    own, other = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    shared, i, j = np.intersect1d(own[0], other[0], assume_unique=True, return_indices=True)
+    union = head + tail + len(x) + len(y) - int(np.minimum(own[1][i], other[1][j]).sum())
+    return (head + tail + _chain(x[np.isin(x, shared)].tolist(), y[np.isin(y, shared)].tolist())) / union
+
+
+def _chain(x: list[int], y: list[int]) -> int:
+    """Length of a longest common subsequence, a row of its table in the bits of one number."""
+    if len(x) > len(y):
+        x, y = y, x
+    where: dict[int, int] = {}
+    for i, h in enumerate(x):
+        where[h] = where.get(h, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for h in y:
+        met = row & where[h]
+        row = (row + met | row - met) & full
+    return len(x) - row.bit_count()
+
+
+def _parts(rows: list, chars: Callable[[object], int]) -> Iterator[list]:
+    """Runs of rows of at most ROWS rows and about CHARS characters, or one longer row."""
+    part, held = [], 0
+    for row in rows:
+        if part and (len(part) == ROWS or held + chars(row) > CHARS):
+            yield part
+            part, held = [], 0
+        part.append(row)
+        held += chars(row)
+    if part:
+        yield part
 
 
 def fingerprint(documents: DataFrame, column: str = "fingerprint") -> DataFrame:
@@ -95,8 +119,10 @@ def fingerprint(documents: DataFrame, column: str = "fingerprint") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(write, sketches(rows)), pa.string())], ["doc_id", column])
+            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
+            for part in _parts(rows, lambda r: len(r[1] or "")):
+                own = prints([(t or "").encode() for _, t in part])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(map(write, own), pa.string())], ["doc_id", column])
 
     return documents.select("doc_id", "text").mapInArrow(each, f"doc_id long, `{column}` string")
 
@@ -146,11 +172,11 @@ def compare_edited(documents: DataFrame) -> DataFrame:
                 q = len(text) // 4
                 texts.append(text.encode())
                 edited.append((text[: len(text) - q] + after[:q]).encode())
-            fps, efps = sketches(texts), sketches(edited)
-            nexts = [*fps[1:], *sketches([pairs[-1][2].encode()])] if pairs else []
+            fps, efps = prints(texts), prints(edited)
+            nexts = [*fps[1:], *prints([pairs[-1][2].encode()])] if pairs else []
             for i in range(len(pairs) - 1):
                 if pairs[i][2] is not pairs[i + 1][1]:
-                    nexts[i] = sketches([pairs[i][2].encode()])[0]
+                    nexts[i] = prints([pairs[i][2].encode()])[0]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(p[1]) for p in pairs], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()), pa.array([write(f) for f in fps], pa.string()), pa.array([write(f) for f in efps], pa.string()), pa.array([likeness(*x) for x in zip(fps, efps, strict=True)], pa.float64()), pa.array([likeness(*x) for x in zip(fps, nexts, strict=True)], pa.float64())], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for batch in batches:
@@ -161,7 +187,6 @@ def compare_edited(documents: DataFrame) -> DataFrame:
                     waiting = None
                 if not is_ahead:
                     waiting = (doc, text, b)
-            for lo in range(0, len(pairs), 256):
-                yield judged(pairs[lo : lo + 256])
+            yield from map(judged, _parts(pairs, lambda p: len(p[1])))
 
     return dealt.select("doc_id", "text", "b", "ahead").mapInArrow(each, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

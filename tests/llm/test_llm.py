@@ -1,9 +1,11 @@
 """The operators against brute force, exact round trips and awkward rows."""
 
+import base64
 import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +204,40 @@ def test_fingerprints_of_edited_texts(docs, odd):
     assert fingerprints.compare_edited(empty(docs)).count() == 0
 
 
+def test_fingerprints_keep_every_anchor(spark, docs):
+    def chain(x, y):
+        row = [0] * (len(y) + 1)
+        for v in x:
+            new = [0]
+            for j, w in enumerate(y):
+                new.append(row[j] + 1 if v == w else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def own(text):
+        data = text.encode()
+        inner = [int(h) for h in (fingerprints.X.mix64(np.array([int.from_bytes(data[i : i + 6], "little") for i in range(len(data) - 5)], np.uint64)) >> np.uint64(32))]
+        places = [p for p in range(len(data) - 15) if min(inner[p : p + 11]) in (inner[p], inner[p + 10])]
+        return places, [data[p : p + 16] for p in places]
+
+    shared = " ".join(f"passage{k}" for k in range(12))
+    long = [" ".join(f"{c}{k * 7919 % 10007}" for k in range(600)) for c in "abcd"]
+    made = [(1, f"{long[0]} {shared} {long[1]}"), (2, f"{long[2]} {shared} {long[3]}"), (3, "ab" * 300), (4, "ab" * 200), (5, "one line, again and again. " * 40), (6, "one line, again and again. " * 30 + "Then an end of its own.")]
+    for df in (spark.createDataFrame(made, "doc_id long, text string"), docs.filter("char_length(text) BETWEEN 600 AND 1500")):
+        rows = sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+        got = {r.doc_id: r for r in fingerprints.compare_edited(df).collect()}
+        for i, (d, t) in enumerate(rows):
+            after = rows[(i + 1) % len(rows)][1]
+            words = np.frombuffer(base64.b64decode(got[d].fingerprint), "<u4")
+            places, x = own(t)
+            assert words[len(words) // 2 :].tolist() == places and len(words) == 2 * len(places)
+            for value, y in ((got[d].near_edited, own(t[: len(t) - len(t) // 4] + after[: len(t) // 4])[1]), (got[d].near_next, own(after)[1])):
+                a, b = collections.Counter(x), collections.Counter(y)
+                assert value == pytest.approx(chain(x, y) / (a | b).total())
+        if len(rows) == len(made):
+            assert got[1].near_next > 0
+
+
 def test_byte_bpe_is_the_library(docs, odd):
     import public_tokenizers
     import tiktoken

@@ -361,6 +361,12 @@ def gabriel_edges(spark, sf_dir):
     return rips.gabriel(points, 1).filter("dim = 1").select(_name())
 
 
+@query()
+def gabriel_graph(spark, sf_dir):
+    """The Gabriel edges of every space, by whole coordinates; gabriel_edges has two coordinates of one space, as its SQL has."""
+    return rips.gabriel(spaces(spark, sf_dir), 1).filter("dim = 1").select("space_id", _name(), _d("f"))
+
+
 @query("SELECT n_nationkey, translate(n_nationkey::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') AS raised, translate(n_nationkey::VARCHAR, '0123456789', '₀₁₂₃₄₅₆₇₈₉') AS lowered FROM nation")
 def unicode_labels(spark, sf_dir):
     key = F.col("n_nationkey").cast("string")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skeinlab import catalogue
 from skeinlab.functions import fields
 from skeinlab.functions import intervals as I
 from skeinlab.functions import simplex as S
@@ -71,6 +72,24 @@ def test_rips_is_every_clique(spark):
     assert rips.gabriel(points, 2).filter("dim = 0").count() == 10
 
 
+def test_gabriel_graph_has_every_space_and_coordinate(spark, tmp_path):
+    rnd = random.Random(3)
+    at = {v: (v % 3, [rnd.random() for _ in range(4)]) for v in range(45)}
+    spark.createDataFrame([(v, x, s) for v, (s, x) in at.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = {r.vec_id: (r.label, list(r.embedding)) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+
+    def inside(a, b, c):
+        return sum((z - x) * (z - y) for x, y, z in zip(at[a][1], at[b][1], at[c][1], strict=True)) < 0
+
+    want = set()
+    for a, b in itertools.combinations(sorted(at), 2):
+        rest = [c for c in at if c not in (a, b) and at[c][0] == at[a][0]]
+        if at[a][0] == at[b][0] and not any(inside(a, b, c) for c in rest):
+            want.add((at[a][0], f"{a}-{b}"))
+    got = [(r.space_id, r.cell) for r in catalogue.QUERIES["gabriel_graph"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {s for s, _ in want} == {0, 1, 2} and len(want) < 315
+
+
 def test_spanning_tree_of_a_matrix(spark):
     edges = source.explicit(spark, [[0, 1, 2], [1, 0, 3], [2, 3, 0]])
     points = spark.createDataFrame([(0, v) for v in range(3)], "space_id long, v long")

@@ -3,7 +3,8 @@
 Every function takes (spark, docs, sf_dir). run() writes each stage's rows as Parquet in the shared
 folder and reads them again as the next one's docs. All but the last return the columns of
 documents; the last adds the tokens. The stages have no SQL form (a model, a similarity join,
-hashed spans, raking, a tokenizer), so ORACLE_SQL is None and tests compare them with brute force.
+hashed spans, raking, a tokenizer), so ORACLE_SQL is None. Tests compare the join and the spans with brute force
+and the tokenizer with its library; the classifier, the mixing and run() as a whole have no such comparison.
 """
 
 from __future__ import annotations

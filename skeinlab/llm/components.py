@@ -35,4 +35,6 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         before = mark
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    stars._skeinlab_path = now._skeinlab_path  # for drop_table()
+    return stars

@@ -64,12 +64,38 @@ def test_jaccard_finds_every_link(docs, odd):
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
     monkeypatch.setattr(ngram_jaccard, "BRUTE", 8)
+    monkeypatch.setattr(ngram_jaccard, "DEPTH", 2)
     base = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join([*base, f"x{i}"])) for i in range(40)]
     got = ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.class_id, r.n_links) for r in got} == {(0, 39)}
 
 
+def test_keep_one_goes_by_rows(spark, odd):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (7, a, "s"), (8, f"{c} end", "t"), (9, c, "u"), (1, a, "v"), (None, a, "w"), (2, None, "x"), (2, "", "y"), (3, " ", "z"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    out = ngram_jaccard.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(1, a), (5, b), (8, f"{c} end"), (0, a), (2, ""), (2, ""), (3, " "), (4, "")])
+    assert ngram_jaccard.keep_one(odd).columns == odd.columns and ngram_jaccard.keep_one(empty(df)).count() == 0
+
+
+def test_buckets_are_linked_as_by_all_pairs():
+    rng = np.random.default_rng(1)
+    path = np.sort(rng.integers(0, 60, 1500))
+    path[200:500] = path[200]
+    path = np.sort(path)
+    brief = rng.integers(0, 256, (30, ngram_jaccard.TOKENS), np.uint8)[rng.integers(0, 30, len(path))]
+    noise = rng.random(brief.shape) < 0.25
+    brief = np.where(noise, rng.integers(0, 256, brief.shape, np.uint8), brief)
+    i, j = np.nonzero(np.triu((path[:, None] == path[None, :]) & ((brief[:, None] == brief[None, :]).sum(2) >= 36), 1))
+    want = ngram_jaccard._forest(len(path), i, j)
+    row, root = ngram_jaccard._link(path, brief, 36)
+    got = np.arange(len(path))
+    got[row] = root
+    assert (got == want).all() and len(row) > 100
+
+
 def test_quality_rules_base(docs, odd):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):

@@ -30,7 +30,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the first document stays."""
     ship(spark)
-    return ngram_jaccard.keep_one(docs, ngram_jaccard.join(docs))
+    return ngram_jaccard.keep_one(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

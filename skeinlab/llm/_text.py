@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+PIECE = 256
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -61,11 +62,23 @@ class _Powers:
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each values[start:end]; it depends on the span's values and their order, not on its place."""
+    """Hash of each values[start:end]; it depends on the span's values and their order, not on its place.
+
+    A polynomial modulo 2^64 over PIECE values; longer spans are hashed as the spans of their pieces' hashes, as
+    long words of a Thue-Morse kind would have equal polynomials.
+    """
     up, down = _Powers.upto(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    out = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    long = np.flatnonzero(end - start > PIECE)
+    if len(long):
+        first, last = start[long], end[long]
+        n = -(-(last - first) // PIECE)
+        edge = np.append(0, np.cumsum(n))
+        opens = np.repeat(first, n) + PIECE * (np.arange(edge[-1]) - np.repeat(edge[:-1], n))
+        out[long] = span_hashes(span_hashes(values, opens, np.minimum(opens + PIECE, np.repeat(last, n))), edge[:-1], edge[1:])
+    return out
 
 
 class Texts:
@@ -117,6 +130,34 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, Tex
         first = last
 
 
+_GRAPHIC = np.zeros(256, bool)
+_GRAPHIC[0x21:0x7F] = True
+
+
+def chunks(texts: Texts, limit: int = SLICE) -> Iterator[Texts]:
+    """The texts; one that is much longer than limit by itself comes in parts that no pre-token crosses.
+
+    Parts begin at a blank or line feed between two graphic ASCII signs, where every tokenizer here starts a match. A text
+    without such places stays whole.
+    """
+    data = texts.data
+    if len(texts) != 1 or len(data) < 2 * limit:
+        yield texts
+        return
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        while hi < len(data):
+            part = data[hi - 1 : hi + (1 << 16)]
+            cut = np.flatnonzero(((part[1:-1] == 0x20) | (part[1:-1] == 0x0A)) & _GRAPHIC[part[:-2]] & _GRAPHIC[part[2:]])
+            if len(cut):
+                hi += int(cut[0])
+                break
+            hi = min(hi + (1 << 16) - 1, len(data))
+        yield Texts(data[lo:hi], np.array([0, hi - lo]))
+        lo = hi
+
+
 def windows(hashes: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of k hashes within one text, and the runs before each text."""
     n = np.diff(before)
@@ -169,21 +210,16 @@ def code_points(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, np.searchsorted(place, texts.bounds), place
 
 
-class Classes:
-    """Of each code point: 1 letter, 2 number, 3 white space, 0 other, as \\p{L}, \\p{N} and \\s have them."""
-
-    _table = None
+#: Every code point that a text can hold.
+ALL_POINTS = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
 
-    @classmethod
-    def table(cls) -> np.ndarray:
-        if cls._table is None:
-            import unicodedata
 
-            kind = {"L": 1, "N": 2}
-            table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-            table[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
-            cls._table = table
-        return cls._table
+def class_table(letters: str, numbers: str, spaces: str) -> np.ndarray:
+    """Of each code point: 1 letter, 2 number, 3 white space, 0 other, as a library's \\p{L}, \\p{N} and \\s have them."""
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    for kind, signs in enumerate((letters, numbers, spaces), 1):
+        table[np.frombuffer(signs.encode("utf-32-le"), np.uint32)] = kind
+    return table
 
 
 def contraction_lengths(points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -204,28 +240,3 @@ def runs(kinds: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     edge[bounds[bounds < len(kinds)]] = True
     start = np.flatnonzero(edge)
     return start, np.append(start[1:], len(kinds))
-
-
-class WordTable:
-    """What was computed of each distinct word, by its 64-bit hash; at ``most`` words it starts anew."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.keys, self.rows = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.values: list = []
-
-    def lookup(self, hashes: np.ndarray, compute) -> np.ndarray:
-        """Row in ``values`` of each hash; compute(index of one occurrence of each new word) gives the new values."""
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
-            self.__init__(self.most)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            added = compute(first[new])
-            rows = np.arange(len(self.values), len(self.values) + len(added))
-            self.values.extend(added)
-            allkeys = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(allkeys, kind="stable")
-            self.keys, self.rows = allkeys[order], np.concatenate([self.rows, rows])[order]
-            at = np.searchsorted(self.keys, keys)
-        return self.rows[at][inverse]

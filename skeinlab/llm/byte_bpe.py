@@ -7,9 +7,14 @@ joins them with the merge table and contracts each word's leftmost pair of least
 is left. A pre-token that is a token as a whole is left as it is, as the tiktoken library does. An ordered
 aggregation over the positions gives the ids and, by the token table, the decoded bytes.
 
-Pre-tokens of more than LONG bytes, for which a round for each merge would be quadratic, are
-contracted by the same rule with a heap. Memory: a slice of texts, and a table of distinct words
-that starts anew at a fixed size. Null text: the empty text (no tokens). Repeated rows are encoded
+One step of the recursion contracts all places of a word's least pair from left to right, as far as that is the same
+as one after the other: up to the first place where the new token and a neighbour make a pair of lower
+rank. Then a word takes about a step for each rank, not for each place, and
+one sign repeated n times takes log n steps. Letters, numbers and white space are what tiktoken's own
+pattern engine takes for them.
+
+Memory: a slice of texts (a long text comes in parts), symbols of BYTES bytes of words or of one longer word, and a
+table of WORDS distinct short words that starts anew when it is full. Null text: the empty text (no tokens). Repeated rows are encoded
 each. Other columns pass through; those named like a result are replaced.
 """
 
@@ -17,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from skeinlab.llm import _text as X
+from skeinlab.llm._files import send_file, sent_file
 
-LONG = 400
+BYTES, WORDS, SHORT = 1 << 18, 200_000, 64
 
 
 @lru_cache(2)
@@ -37,6 +42,15 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """X.class_table() of the library, asked by encoding every code point with a pattern that drops all but one class."""
+    import tiktoken
+
+    signs = {bytes([b]): b for b in range(256)}
+    return X.class_table(*(bytes(tiktoken.Encoding("class", pat_str=p, mergeable_ranks=signs, special_tokens={}).encode_ordinary(X.ALL_POINTS)).decode() for p in (r"\p{L}", r"\p{N}", r"\s")))
+
+
 def pre_tokens(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of each match of public_tokenizers.PATTERN, and the matches before each text.
 
@@ -45,7 +59,7 @@ def pre_tokens(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     apostrophe alone starts a match.
     """
     points, bounds, place = X.code_points(texts)
-    kinds = X.Classes.table()[points]
+    kinds = classes()[points]
     start, end = X.runs(kinds, bounds)
     if not len(start):
         return start, end, np.zeros(len(texts) + 1, np.int64)
@@ -72,27 +86,6 @@ def pre_tokens(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[at], np.append(place[at[1:]], len(texts.data)), np.searchsorted(at, bounds)
 
 
-def _merge_long(word: bytes, table: dict[bytes, int]) -> list[int]:
-    """The leftmost pair of least rank is contracted until none is left; a heap finds it."""
-    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap = [(table[p], i, p) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in table]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i] if parts[i] is not None else len(parts)
-        if j >= len(parts) or parts[i] + parts[j] != pair:
-            continue
-        parts[i], parts[j] = pair, None
-        after[i] = after[j]
-        if after[i] < len(parts):
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] < len(parts) and (p := parts[k] + parts[after[k]]) in table:
-                heapq.heappush(heap, (table[p], k, p))
-    return [table[p] for p in parts if p is not None]
-
-
 class Encoder:
     """The tables of one tokenizer in an in-memory DuckDB of one thread."""
 
@@ -108,27 +101,40 @@ class Encoder:
         import duckdb
 
         self.table = ranks(path)
-        self.tokens = {i: t for t, i in self.table.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         cut = [(self.table[t[:i]], self.table[t[i:]], rank) for t, rank in self.table.items() for i in range(1, len(t)) if t[:i] in self.table and t[i:] in self.table]
+        early = [(x, side, y) for a, b, rank in cut for x, side, y in ((a, 1, b), (b, -1, a)) if x > rank]  # x with y at that side makes a token of lower rank
+        risks = {x for x, _, _ in early}
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*cut, strict=True))
-        self.db.register("cuts", pa.table({"a": left, "b": right, "r": rank}))
-        self.db.register("own", pa.table({"t": pa.array(self.tokens, pa.int32()), "hex": pa.array([t.hex() for t in self.tokens.values()])}))
-        self.db.execute("CREATE TABLE merges AS SELECT a, b, r FROM cuts; CREATE TABLE vocabulary AS SELECT t, hex FROM own")
-        self.known = X.WordTable(400_000)
+        self.db.register("cuts", pa.table({"a": left, "b": right, "r": rank, "risk": pa.array([r in risks for _, _, r in cut])}))
+        self.db.register("low", pa.table({"x": pa.array([x for x, _, _ in early], pa.int32()), "side": pa.array([x for _, x, _ in early], pa.int8()), "y": pa.array([y for _, _, y in early], pa.int32())}))
+        self.db.register("own", pa.table({"t": pa.array(self.table.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.table])}))
+        self.db.execute("CREATE TABLE merges AS SELECT a, b, r, risk FROM cuts; CREATE TABLE early AS SELECT DISTINCT x, side, y FROM low; CREATE TABLE vocabulary AS SELECT t, hex FROM own")
+        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.first = np.array([self.table[bytes([b])] for b in range(256)], np.int32)
 
-    def words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+    def lookup(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """Number of ids, ids in decimal joined by a space, and decoded bytes of each word."""
+        out = list(map(self.known.get, words))
+        new = list(dict.fromkeys(w for w, v in zip(words, out, strict=True) if v is None))
+        if new:
+            found = dict(zip(new, self.words(new), strict=True))
+            out = [found[w] if v is None else v for w, v in zip(words, out, strict=True)]
+            if len(self.known) + len(found) > WORDS:
+                self.known = {}
+            self.known.update((w, v) for w, v in list(found.items())[:WORDS] if len(w) <= SHORT)
+        return out
+
+    def words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """The same of distinct words, encoded in chunks of words of about one length."""
         out: list = [None] * len(words)
-        step = 120_000
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for lo in range(0, len(short), step):
-            self._recursive(words, short[lo : lo + step], out)
-        for i, w in enumerate(words):
-            if out[i] is None:
-                ids = [self.table[w]] if w in self.table else _merge_long(w, self.table)
-                out[i] = (len(ids), " ".join(map(str, ids)).encode(), b"".join(map(self.tokens.__getitem__, ids)))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        size = np.append(0, np.cumsum([len(words[i]) for i in order]))
+        lo = 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + BYTES, "right")) - 1)
+            self._recursive(words, order[lo:hi], out)
+            lo = hi
         return out
 
     def _recursive(self, words: list[bytes], which: list[int], out: list) -> None:
@@ -147,18 +153,31 @@ class Encoder:
             WITH RECURSIVE step AS (
               SELECT w, g, nx, t, false AS done FROM symbols
               UNION ALL
-              (WITH current AS MATERIALIZED (SELECT w, g, nx, t FROM step WHERE NOT done),
-                best AS MATERIALIZED (
-                  SELECT a.w, arg_min({'g': a.g, 'gone': b.g, 'nx': b.nx, 'r': m.r}, m.r::BIGINT * 4294967296 + a.g) AS x
-                  FROM current a JOIN current b ON a.nx = b.g JOIN merges m ON m.a = a.t AND m.b = b.t GROUP BY a.w)
-              SELECT c.w, c.g, CASE WHEN c.g = x.g THEN x.nx ELSE c.nx END, CASE WHEN c.g = x.g THEN x.r ELSE c.t END, x IS NULL
-              FROM current c LEFT JOIN best USING (w) WHERE x IS NULL OR c.g <> x.gone)
+              (WITH now AS MATERIALIZED (SELECT w, g, nx, t FROM step WHERE NOT done),
+                pairs AS MATERIALIZED (
+                  SELECT a.w, a.g, b.g AS gone, b.nx, m.r, m.risk
+                  FROM now a JOIN now b ON a.nx = b.g JOIN merges m ON m.a = a.t AND m.b = b.t),
+                best AS MATERIALIZED (SELECT w, min(r) AS r FROM pairs GROUP BY w),
+                least AS MATERIALIZED (
+                  SELECT p.w, p.g, p.gone, p.nx, p.r, p.risk, row_number() OVER (ORDER BY p.g) AS i, lag(p.gone) OVER (ORDER BY p.g) IS DISTINCT FROM p.g AS head
+                  FROM pairs p JOIN best ON p.w = best.w AND p.r = best.r),
+                odd AS MATERIALIZED (SELECT * FROM (SELECT *, i - max(CASE WHEN head THEN i END) OVER (ORDER BY g) AS place FROM least) WHERE place % 2 = 0),
+                low AS (
+                  SELECT o.w, o.g FROM odd o JOIN now n ON n.g = o.nx JOIN early e ON e.x = o.r AND e.side = 1 AND e.y = n.t WHERE o.risk
+                  UNION ALL SELECT o.w, o.g FROM odd o JOIN now p ON p.nx = o.g JOIN early e ON e.x = o.r AND e.side = -1 AND e.y = p.t WHERE o.risk
+                  UNION ALL SELECT o.w, o.g FROM odd o JOIN odd n ON n.g = o.nx JOIN early e ON e.x = o.r AND e.y = o.r WHERE o.risk),
+                chosen AS MATERIALIZED (
+                  SELECT o.g, o.gone, o.nx, o.r FROM odd o LEFT JOIN (SELECT w, min(g) AS g FROM low GROUP BY w) l ON l.w = o.w WHERE l.g IS NULL OR o.g <= l.g)
+              SELECT c.w, c.g, coalesce(x.nx, c.nx), coalesce(x.r, c.t), best.w IS NULL
+              FROM now c LEFT JOIN best ON best.w = c.w LEFT JOIN chosen x ON x.g = c.g
+              WHERE c.g NOT IN (SELECT gone FROM chosen))
             )
             SELECT w, count(*), string_agg(t::VARCHAR, ' ' ORDER BY g), string_agg(hex, '' ORDER BY g)
             FROM step JOIN vocabulary USING (t) WHERE done GROUP BY w""").fetchall()
         self.db.unregister("symbols")
         for i, n, ids, text in rows:
-            out[which[i]] = (n, ids.encode(), bytes.fromhex(text))
+            decoded = bytes.fromhex(text)
+            out[which[i]] = (n, ids.encode(), words[which[i]] if words[which[i]] == decoded else decoded)  # one object for both
 
 
 RESULT = {"n_tokens": "long", "token_ids": "string", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -169,17 +188,21 @@ def encode(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
     names = [n for n in RESULT if ids or n != "token_ids"]
     documents = documents.drop(*names)
 
+    name = send_file(documents.sparkSession, path)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        known = encoder.known  # outlives the task, with its worker
+        encoder = Encoder.of(sent_file(name))  # outlives the task, with its worker
         for batch in batches:
             got: list[tuple] = []
-            for _, _, texts in X.slices(batch.column("text"), 1 << 22):
-                start, end, before = pre_tokens(texts)
-                raw = texts.data.tobytes()
-                hashes = X.span_hashes(X.BYTE_VALUES[texts.data], start, end)
-                row = known.lookup(hashes, lambda at, raw=raw, start=start, end=end: encoder.words([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
-                values = [known.values[i] for i in row.tolist()]
+            for _, _, texts in X.slices(batch.column("text")):
+                values: list[tuple[int, bytes, bytes]] = []
+                sizes = []
+                for part in X.chunks(texts):
+                    start, end, before = pre_tokens(part)
+                    raw = part.data.tobytes()
+                    values += encoder.lookup([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+                    sizes.append(np.diff(before))
+                before = np.append(0, np.cumsum(sizes[0] if len(sizes) == 1 else [np.concatenate(sizes).sum()]))
                 for i in range(len(texts)):
                     own = values[before[i] : before[i + 1]]
                     text = b" ".join([v[1] for v in own])

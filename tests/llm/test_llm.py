@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinlab.llm import _text as text_kernels
 from skeinlab.llm import byte_bpe, fingerprints, license_scan, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_counts, url_templates
 from skeinlab.llm.queries import held_out, tokenizer_file
 
@@ -264,30 +265,60 @@ def test_fingerprints_keep_every_anchor(spark, docs):
             assert got[1].near_next > 0
 
 
-def test_byte_bpe_is_the_library(docs, odd):
+def awkward(spark, long):
+    """Every code point, random mixtures, words of made hash collisions, and long texts."""
+    rng = np.random.default_rng(3)
+    points = text_kernels.ALL_POINTS
+    pool = ["'s", "'", "’s", " ", "  ", "\n", "a", "Z", "é", "1", "٣", "日", "\u0301", "'ll", "<|endoftext|>", "\xa0", "　", "İ", "\u20d9", "\u1bae", "각", "ᄀ", "ᅡ", "Σ", "\U0001e5ed", "ǰ", "\U00013808"]
+    made = [" ".join(points[i + k : i + k + 7] for k in range(0, 5000, 7)) for i in range(0, len(points), 5000)]
+    made += ["".join(pool[k] if k < len(pool) else points[rng.integers(len(points))] for k in rng.integers(0, len(pool) + 3, 25)) for _ in range(3000)]
+    tm = "a"
+    for _ in range(10):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    made += [tm, tm.translate(str.maketrans("ab", "ba")), "a" * 70_000, " " * 30_000 + "x" + "\n" * 500, "aab" * 9_000, "İ" + " \u0301" * 10]
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    made += ["\n".join("".join(r) for r in letters[rng.integers(0, 52, (long, 76))]), "x's  y " * (long * 8)]
+    return spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(made)], "doc_id long, text string, n_tokens string, n_bytes int").repartition(8)
+
+
+def test_byte_bpe_is_the_library(spark, docs, odd):
     import public_tokenizers
     import tiktoken
 
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(path), special_tokens={})
-    for df in (docs, odd):
-        for r in byte_bpe.encode(df, path, ids=True).collect():
+    for df in (docs, odd, awkward(spark, 55_000)):
+        out = byte_bpe.encode(df, path, ids=True)
+        assert len(set(out.columns)) == len(out.columns)
+        for r in out.collect():
             ids = library.encode_ordinary(r.text or "")
             assert r.token_ids == " ".join(map(str, ids)) and r.n_tokens == len(ids)
             assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert byte_bpe.encode(empty(docs), path).count() == 0
 
 
-def test_token_counts_are_the_library(docs, odd):
+def test_token_counts_are_the_library(spark, docs, odd):
     path = tokenizer_file("word_bpe_49k.json")
     library = token_counts.tokenizer(path)
-    for df in (docs, odd):
-        for r in token_counts.count(df, path).collect():
-            assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids), r.text
-            assert r.n_bytes == len((r.text or "").encode())
+    for df in (docs, odd, awkward(spark, 30_000)):
+        out = token_counts.count(df, path)
+        assert len(set(out.columns)) == len(out.columns)
+        for r in out.collect():
+            assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids), (r.text or "")[:200]
+            assert r.n_bytes == len((r.text or "").encode()) and r.over_limit == (r.n_tokens > 2048)
     assert token_counts.count(empty(docs), path).count() == 0
 
 
+def test_long_spans_hash_apart():
+    tm = np.array([0], np.uint8)
+    for _ in range(12):
+        tm = np.concatenate([tm, 1 - tm])
+    values = text_kernels.BYTE_VALUES[np.concatenate([tm, 1 - tm, tm])]
+    n = len(tm)
+    h = text_kernels.span_hashes(values, np.array([0, n, 2 * n, 0]), np.array([n, 2 * n, 3 * n, 300]))
+    assert h[0] == h[2] != h[1] and h[3] == text_kernels.span_hashes(values[:300], np.array([0]), np.array([300]))[0]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

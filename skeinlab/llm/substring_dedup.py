@@ -3,16 +3,18 @@
 A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may follow), at a line
 break and at the end of the text. From every sentence a span slides forward and another one backward: the
 shortest run of at least ``sentences`` consecutive sentences, from that one on or up to it, that has at least
-``min_words`` words; a sentence that long is a span by itself. Every span is hashed (its
+``min_words`` words. Every span is hashed (its
 words, whatever white space parts them), all spans are joined by hash, and each sentence that a
 non-first repeated span covers is removed, the white space behind it with it. First is the span
 with the least (doc_id, hash of text, sentence).
 
-That removes the same as spans of every length would: in a repeated run long enough, the span forward from its
+That removes the same as spans of every length from these bounds on would: in a repeated run long enough, the span forward from its
 first sentence lies within it, and so does the span backward from each sentence that this one doesn't reach.
+The bound in words leaves short footers alone that many documents share; with ``min_words`` 0 every run of ``sentences`` counts.
 
 A text shorter than a span has none and stays. Null text: stays null. Rows without doc_id stay and take no part. Rows that repeat
-both doc_id and text count as one text. Hashes have 64 bits.
+both doc_id and text count as one text, so all are cut alike; a doc_id with several texts has them told apart by their hash.
+Other columns pass through; those named n_sentences or n_removed are replaced. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from skeinlab.llm import _text as X
 from skeinlab.storage import write_table
 
-SENTENCES, MIN_WORDS = 1, 24
+SENTENCES, MIN_WORDS = 2, 24
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSES = np.isin(np.arange(256), [ord(c) for c in "\"')]}"])
 
@@ -66,23 +68,18 @@ def spans(texts: X.Texts, least: int, min_words: int) -> tuple[np.ndarray, np.nd
     return X.span_hashes(words, edge[first], edge[stop]), of, first - at[of], stop - first
 
 
-def _text_hash(texts: X.Texts) -> np.ndarray:
-    return X.span_hashes(X.BYTE_VALUES[texts.data], texts.bounds[:-1], texts.bounds[1:])
-
-
 def span_rows(documents: DataFrame, least: int, min_words: int) -> DataFrame:
     """A row for each span: h, doc_id, version (hash of the text), at and n (sentences)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
             for lo, hi, texts in X.slices(batch.column("text")):
                 h, of, at, n = spans(texts, least, min_words)
-                version = (_text_hash(texts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(ids[lo:hi][of], pa.int64()), pa.array(version[of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))], ["h", "doc_id", "version", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(ids[lo:hi][of], pa.int64()), pa.array(versions[lo:hi][of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "doc_id", "version", "at", "n"])
 
-    rows = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(each, "h long, doc_id long, version int, at int, n short")
+    rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    return rows.mapInArrow(each, "h long, doc_id long, version long, at int, n int")
 
 
 def covered(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -92,7 +89,7 @@ def covered(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_W
     repeated = rows.groupBy("h").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select(F.col("h").alias("rh"), "first")
     repeated = write_table(repeated, "repeated")  # the join below then deals rows out anew, and a frequent span's can be split
     later = rows.join(repeated, (F.col("h") == F.col("rh")) & (where != F.col("first")))
-    return later.select("doc_id", "version", F.struct("at", "n").alias("span")).groupBy("doc_id", "version").agg(F.collect_list("span").alias("spans"))
+    return later.select("doc_id", "version", F.struct("at", "n").alias("span")).groupBy("doc_id", "version").agg(F.collect_set("span").alias("spans"))
 
 
 def dedup(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,27 +99,23 @@ def dedup(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WOR
     """
     documents = documents.drop("n_sentences", "n_removed")
     names = documents.columns
-    found = covered(documents, least, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("version", "spans")).alias("versions"))
-    joined = documents.alias("d").join(found.withColumnRenamed("doc_id", "_id").alias("f"), F.col("d.doc_id") == F.col("_id"), "left")
-    rows = joined.select(*(F.col(f"d.`{n}`") for n in names), F.col("f.versions").alias("_versions"))
+    found = covered(documents, least, min_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
+    joined = documents.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
+    rows = joined.select(*(F.col(f"`{n}`") for n in names), "_spans")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            versions = batch.column("_versions")
+            spans_of, text_column = batch.column("_spans"), batch.column("text")
             texts_out, total, removed = [], [], []
-            text_column = batch.column("text")
             for lo, hi, texts in X.slices(text_column):
-                start, end, edge, at, before = sentences(texts)
-                version = (_text_hash(texts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                start, _, edge, at, _ = sentences(texts)
+                data = texts.data.tobytes()
                 for i in range(hi - lo):
                     n = int(at[i + 1] - at[i])
-                    own = versions[lo + i].as_py() if versions[lo + i].is_valid else []
                     drop = np.zeros(n + 1, np.int64)
-                    for v in own:
-                        if v["version"] == version[i]:
-                            for s in v["spans"]:
-                                drop[s["at"]] += 1
-                                drop[s["at"] + s["n"]] -= 1
+                    for s in (spans_of[lo + i].as_py() or []) if spans_of[lo + i].is_valid else []:
+                        drop[s["at"]] += 1
+                        drop[s["at"] + s["n"]] -= 1
                     gone = np.cumsum(drop[:n]) > 0
                     total.append(n)
                     removed.append(int(gone.sum()))
@@ -133,7 +126,6 @@ def dedup(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WOR
                     else:
                         words = edge[at[i] : at[i + 1] + 1]
                         cut = np.append(start[words[:-1]], texts.bounds[i + 1])
-                        data = texts.data.tobytes()
                         kept = [data[texts.bounds[i] : cut[0]], *(data[cut[k] : cut[k + 1]] for k in range(n) if not gone[k])]
                         texts_out.append(b"".join(kept).decode())
             columns = [pa.array(texts_out, pa.string()) if c == "text" else batch.column(c) for c in names]

@@ -8,8 +8,8 @@ product of these values and the weights.
 
 Training takes at most ``max_rows`` labelled rows (those with the smallest hash of doc_id) and
 visits them one by one in a fixed order; its model has a fixed size. Every row is scored.
-Null text: scored as the empty text (the intercept alone). Repeated rows are scored each; rows whose label is null, or that
-share a doc_id with another label, don't train. No labels: every score is 0.5. Columns of the
+Null text: scored as the empty text (the intercept alone). Repeated rows are scored each; of the texts of one doc_id
+the least trains. Labels that are null, or that share a doc_id with another label, don't train. No labels: every score is 0.5. Columns of the
 input other than doc_id and text are never read by the model.
 """
 
@@ -116,9 +116,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
     one = labels.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other"))
     chosen = one.filter("doc_id IS NOT NULL AND label = other AND label IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     bounded = F.broadcast(chosen.select("doc_id", F.col("label").cast("int").alias("label")))  # max_rows rows of two numbers
-    rows = documents.select("doc_id", "text").join(bounded, "doc_id").select("doc_id", "label", "text")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded, "doc_id").select("doc_id", "label", "text")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text for each label, so max_rows bounds what is gathered
     found = rows.mapInArrow(_sparse, "doc_id long, label int, at binary, share binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["at"]))
+    found.sort(key=lambda r: r["doc_id"])
     return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r["label"]) for r in found], epochs, alpha, beta, l1, l2)
 
 

@@ -196,7 +196,7 @@ def test_substring_dedup_is_every_run(spark, docs):
                 run = []
                 for j in range(i, len(own)):
                     run += own[j]
-                    if len(run) >= least:
+                    if len(run) >= least and j > i:
                         if tuple(run) in seen:
                             gone[d].update(range(i, j + 1))
                         seen.add(tuple(run))
@@ -208,7 +208,14 @@ def test_substring_dedup_is_every_run(spark, docs):
         return " ".join(" ".join(f"p{n}w{k}" for k in range(n)) + "." for n in sizes)
 
     rows = [(1, f"First one here. {passage(5, 24, 23)} Tail of one."), (2, f"Another start. {passage(5, 24, 23)} More text."), (3, passage(9, 10, 11, 12, 4)), (4, passage(9, 10, 11, 12, 4))]
+    rows += [(5, f"One alone. {passage(30)} Not several."), (6, f"Alone too. {passage(30)} At all."), (7, f"A. {passage(7, 6, 8, 6)} B."), (8, f"C. {passage(7, 6, 8, 6)} D.")]
     got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[6].n_removed == 0 and got[8].text == "C. D."
+    short = [(1, f"A. {passage(5, 4, 3)} B."), (2, f"C. {passage(5, 4, 3)} D."), (2, passage(5, 4, 3)), (2, passage(5, 4, 3)), (2, None)]
+    assert sorted(r.text or "" for r in substring_dedup.dedup(spark.createDataFrame(short, "doc_id long, text string"), 3, 0).collect()) == ["", "", "", f"A. {passage(5, 4, 3)} B.", "C. D."]
+    long = [(1, " ".join(passage(k % 7 + 4) for k in range(300_000))), (2, f"A start. {passage(*range(4, 11))} An end."), (2, "x"), (2, f"A start. {passage(*range(4, 11))} An end.")]
+    out = substring_dedup.dedup(spark.createDataFrame([(*r, "clash") for r in long], "doc_id long, text string, n_removed string")).filter("doc_id = 2").collect()
+    assert sorted(r.text for r in out) == ["A start. An end.", "A start. An end.", "x"]
     assert got[2].text == "Another start. More text." and got[4].text == "" and {d: (r.n_sentences, r.n_removed) for d, r in got.items()} == brute(dict(rows))
     assert {r.doc_id: (r.n_sentences, r.n_removed) for r in substring_dedup.dedup(docs).collect()} == brute({r.doc_id: r.text for r in docs.collect()})
 

@@ -7,8 +7,10 @@ their hashes and windows of them are then found for many texts at once. Slices h
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,22 @@ _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel; at the end of its task what Arrow and the C library hold unused goes back to the system, as workers live on between tasks."""
+
+    @functools.wraps(kernel)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return each
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> _U(30))

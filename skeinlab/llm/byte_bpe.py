@@ -87,7 +87,7 @@ def pre_tokens(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """The tables of one tokenizer in an in-memory DuckDB of one thread."""
+    """The tables of one tokenizer and, from open() to close(), an in-memory DuckDB of one thread that holds them."""
 
     _held: dict[str, Encoder] = {}
 
@@ -98,21 +98,31 @@ class Encoder:
         return cls._held[path]
 
     def __init__(self, path: str):
-        import duckdb
-
         self.table = ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         cut = [(self.table[t[:i]], self.table[t[i:]], rank) for t, rank in self.table.items() for i in range(1, len(t)) if t[:i] in self.table and t[i:] in self.table]
         early = [(x, side, y) for a, b, rank in cut for x, side, y in ((a, 1, b), (b, -1, a)) if x > rank]  # x with y at that side makes a token of lower rank
         risks = {x for x, _, _ in early}
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*cut, strict=True))
-        self.db.register("cuts", pa.table({"a": left, "b": right, "r": rank, "risk": pa.array([r in risks for _, _, r in cut])}))
-        self.db.register("low", pa.table({"x": pa.array([x for x, _, _ in early], pa.int32()), "side": pa.array([x for _, x, _ in early], pa.int8()), "y": pa.array([y for _, _, y in early], pa.int32())}))
-        self.db.register("own", pa.table({"t": pa.array(self.table.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.table])}))
-        self.db.execute("CREATE TABLE merges AS SELECT a, b, r, risk FROM cuts; CREATE TABLE early AS SELECT DISTINCT x, side, y FROM low; CREATE TABLE vocabulary AS SELECT t, hex FROM own")
+        self.merges = pa.table({"a": left, "b": right, "r": rank, "risk": pa.array([r in risks for _, _, r in cut])})
+        self.early = pa.table({"x": pa.array([x for x, _, _ in early], pa.int32()), "side": pa.array([x for _, x, _ in early], pa.int8()), "y": pa.array([y for _, _, y in early], pa.int32())})
+        self.vocabulary = pa.table({"t": pa.array(self.table.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.table])})
+        self.db = None
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.first = np.array([self.table[bytes([b])] for b in range(256)], np.int32)
 
+    def open(self) -> None:
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "allocator_flush_threshold": "1MB"})
+        for name in ("merges", "early", "vocabulary"):
+            self.db.register("own", getattr(self, name))
+            self.db.execute(f"CREATE TABLE {name} AS SELECT DISTINCT * FROM own")
+            self.db.unregister("own")
+
+    def close(self) -> None:
+        self.db.close()
+        self.db = None
+
     def lookup(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """Number of ids, ids in decimal joined by a space, and decoded bytes of each word."""
         out = list(map(self.known.get, words))
@@ -191,25 +201,32 @@ def encode(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
     name = send_file(documents.sparkSession, path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(sent_file(name))  # outlives the task, with its worker
-        for batch in batches:
-            got: list[tuple] = []
-            for _, _, texts in X.slices(batch.column("text")):
-                values: list[tuple[int, bytes, bytes]] = []
-                sizes = []
-                for part in X.chunks(texts):
-                    start, end, before = pre_tokens(part)
-                    raw = part.data.tobytes()
-                    values += encoder.lookup([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-                    sizes.append(np.diff(before))
-                before = np.append(0, np.cumsum(sizes[0] if len(sizes) == 1 else [np.concatenate(sizes).sum()]))
-                for i in range(len(texts)):
-                    own = values[before[i] : before[i + 1]]
-                    text = b" ".join([v[1] for v in own])
-                    got.append((sum([v[0] for v in own]), text.decode() if ids else None, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([v[2] for v in own])).hexdigest()))
-            columns = dict(zip(RESULT, zip(*got, strict=True) if got else [()] * 4, strict=True))
-            kinds = {"long": pa.int64(), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(columns[n], kinds[RESULT[n]]) for n in names)], [*batch.schema.names, *names])
+        encoder = Encoder.of(sent_file(name))  # it and its table of words outlive the task, with their worker
+        encoder.open()
+        try:
+            for batch in batches:
+                for lo, hi, texts in X.slices(batch.column("text")):
+                    yield encoded(encoder, batch.slice(lo, hi - lo), texts)
+        finally:
+            encoder.close()
+
+    def encoded(encoder: Encoder, rows: pa.RecordBatch, texts: X.Texts) -> pa.RecordBatch:
+        values: list[tuple[int, bytes, bytes]] = []
+        sizes = []
+        for part in X.chunks(texts):
+            start, end, before = pre_tokens(part)
+            raw = part.data.tobytes()
+            values += encoder.lookup([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+            sizes.append(np.diff(before))
+        before = np.append(0, np.cumsum(sizes[0] if len(sizes) == 1 else [np.concatenate(sizes).sum()]))
+        got: list[tuple] = []
+        for i in range(len(texts)):
+            own = values[before[i] : before[i + 1]]
+            text = b" ".join([v[1] for v in own])
+            got.append((sum([v[0] for v in own]), text.decode() if ids else None, hashlib.sha256(text).hexdigest(), hashlib.sha256(b"".join([v[2] for v in own])).hexdigest()))
+        columns = dict(zip(RESULT, zip(*got, strict=True), strict=True))
+        arrow = {"long": pa.int64(), "string": pa.string()}
+        return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(columns[n], arrow[RESULT[n]]) for n in names)], [*rows.schema.names, *names])
 
     kinds = {"long": T.LongType(), "string": T.StringType()}
-    return documents.mapInArrow(each, T.StructType([*documents.schema.fields, *(T.StructField(n, kinds[RESULT[n]]) for n in names)]))
+    return documents.mapInArrow(X.tidy(each), T.StructType([*documents.schema.fields, *(T.StructField(n, kinds[RESULT[n]]) for n in names)]))

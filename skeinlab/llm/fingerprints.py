@@ -124,7 +124,7 @@ def fingerprint(documents: DataFrame, column: str = "fingerprint") -> DataFrame:
                 own = prints([(t or "").encode() for _, t in part])
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(map(write, own), pa.string())], ["doc_id", column])
 
-    return documents.select("doc_id", "text").mapInArrow(each, f"doc_id long, `{column}` string")
+    return documents.select("doc_id", "text").mapInArrow(X.tidy(each), f"doc_id long, `{column}` string")
 
 
 def _bucket(order: Column, bounds: list[int]) -> Column:
@@ -189,4 +189,4 @@ def compare_edited(documents: DataFrame) -> DataFrame:
                     waiting = (doc, text, b)
             yield from map(judged, _parts(pairs, lambda p: len(p[1])))
 
-    return dealt.select("doc_id", "text", "b", "ahead").mapInArrow(each, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("doc_id", "text", "b", "ahead").mapInArrow(X.tidy(each), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

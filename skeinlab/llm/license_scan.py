@@ -124,4 +124,4 @@ def scan(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, templates: l
             kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "matches": pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("share", pa.float64())]))}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[n], k) for n, k in kinds.items())], ["doc_id", *kinds])
 
-    return documents.select("doc_id", "text").mapInArrow(each, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first_word:long,n_words:long,share:double>>")
+    return documents.select("doc_id", "text").mapInArrow(X.tidy(each), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first_word:long,n_words:long,share:double>>")

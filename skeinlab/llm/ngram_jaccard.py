@@ -117,7 +117,7 @@ def _sampled(documents: DataFrame, words: int) -> DataFrame:
             size = np.concatenate(sizes) if sizes else key
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(key, pa.int64(), mask=none), pa.array(size, pa.int64()), pa.array(rows, pa.binary(), mask=none), pa.array(briefs, pa.binary(), mask=none)], ["doc_id", "h", "key", "size", "tokens", "brief"])
 
-    return documents.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(each, "doc_id long, h long, key long, size long, tokens binary, brief binary")
+    return documents.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(X.tidy(each), "doc_id long, h long, key long, size long, tokens binary, brief binary")
 
 
 def _matrix(column: pa.Array, dtype: type = np.uint32) -> np.ndarray:
@@ -137,7 +137,7 @@ def _split(rows: DataFrame, runs: int | None = None) -> DataFrame:
                     row, child = _children(path, tokens)
                     yield pa.RecordBatch.from_arrays([pa.array(X.signed(child)), pa.array(key[row])], ["path", "key"])
 
-    return rows.mapInArrow(each, "path long, key long")
+    return rows.mapInArrow(X.tidy(each), "path long, key long")
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -277,7 +277,7 @@ def _compare_sampled(rows: DataFrame, least: int) -> DataFrame:
         if held:
             yield links(held)
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(each, "a long, b long")
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(X.tidy(each), "a long, b long")
 
 
 def candidates(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, list[DataFrame]]:
@@ -365,7 +365,7 @@ def _exact(rows: DataFrame, words: int, threshold: float) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["key", "links", "root"])
 
-    return rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "key").mapInArrow(each, "key long, links long, root long")
+    return rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "key").mapInArrow(X.tidy(each), "key long, links long, root long")
 
 
 def _classified(documents: DataFrame, words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:

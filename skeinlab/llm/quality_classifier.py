@@ -118,7 +118,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
     bounded = F.broadcast(chosen.select("doc_id", F.col("label").cast("int").alias("label")))  # max_rows rows of two numbers
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded, "doc_id").select("doc_id", "label", "text")
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text for each label, so max_rows bounds what is gathered
-    found = rows.mapInArrow(_sparse, "doc_id long, label int, at binary, share binary").toArrow().to_pylist()
+    found = rows.mapInArrow(X.tidy(_sparse), "doc_id long, label int, at binary, share binary").toArrow().to_pylist()
     found.sort(key=lambda r: r["doc_id"])
     return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r["label"]) for r in found], epochs, alpha, beta, l1, l2)
 
@@ -134,4 +134,4 @@ def score(documents: DataFrame, model: Model, column: str = "score") -> DataFram
             scores = [dot(own, texts) for _, _, texts in X.slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names, column])
 
-    return documents.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())]))
+    return documents.mapInArrow(X.tidy(each), T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())]))

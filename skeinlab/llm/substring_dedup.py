@@ -6,7 +6,9 @@ shortest run of at least ``sentences`` consecutive sentences, from that one on o
 ``min_words`` words. Every span is hashed (its
 words, whatever white space parts them), all spans are joined by hash, and each sentence that a
 non-first repeated span covers is removed, the white space behind it with it. First is the span
-with the least (doc_id, hash of text, sentence).
+with the least (doc_id, hash of text, place). The join is a minimum by hash, combined before the shuffle, that leaves the first
+spans; a text's other spans are the non-first ones. So a span that very many texts share is one row, and no
+row for each of its places leaves the shuffle.
 
 That removes the same as spans of every length from these bounds on would: in a repeated run long enough, the span forward from its
 first sentence lies within it, and so does the span backward from each sentence that this one doesn't reach.
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinlab.llm import _text as X
-from skeinlab.storage import write_table
 
 SENTENCES, MIN_WORDS = 2, 24
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -51,13 +52,11 @@ def sentences(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return start, end, edge, np.searchsorted(edge, before), before
 
 
-def spans(texts: X.Texts, least: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first sentence within its text, and number of sentences of every span; one that is shortest both ways comes once."""
-    start, end, edge, at, _ = sentences(texts)
+def bounds(edge: np.ndarray, at: np.ndarray, least: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first sentence and end of every span, by text; within a text the order is fixed. A span that is shortest both ways comes once."""
     n = len(edge) - 1
     if n < 1:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    words = X.span_hashes(X.BYTE_VALUES[texts.data], start, end)
+        return (np.zeros(0, np.int64),) * 3
     first = np.arange(n)
     of = np.searchsorted(at, first, "right") - 1
     stop = np.maximum(np.searchsorted(edge, edge[:-1] + min_words), first + least)
@@ -65,31 +64,31 @@ def spans(texts: X.Texts, least: int, min_words: int) -> tuple[np.ndarray, np.nd
     fits, ends = stop <= at[of + 1], back >= at[of]
     ends[ends] = stop[back[ends]] != first[ends] + 1
     first, stop, of = np.append(first[fits], back[ends]), np.append(stop[fits], first[ends] + 1), np.append(of[fits], of[ends])
-    return X.span_hashes(words, edge[first], edge[stop]), of, first - at[of], stop - first
+    order = np.argsort(of, kind="stable")
+    return of[order], first[order], stop[order]
 
 
 def span_rows(documents: DataFrame, least: int, min_words: int) -> DataFrame:
-    """A row for each span: h, doc_id, version (hash of the text), at and n (sentences)."""
+    """A row for each span: h, doc_id, version (hash of the text) and place (number of the span within its text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
             for lo, hi, texts in X.slices(batch.column("text")):
-                h, of, at, n = spans(texts, least, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(ids[lo:hi][of], pa.int64()), pa.array(versions[lo:hi][of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "doc_id", "version", "at", "n"])
+                start, end, edge, at, _ = sentences(texts)
+                of, first, stop = bounds(edge, at, least, min_words)
+                h = X.span_hashes(X.span_hashes(X.BYTE_VALUES[texts.data], start, end), edge[first], edge[stop]) if len(of) else np.zeros(0, np.uint64)
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(h)), pa.array(ids[lo:hi][of], pa.int64()), pa.array(versions[lo:hi][of]), pa.array(place.astype(np.int32))], ["h", "doc_id", "version", "place"])
 
     rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(each, "h long, doc_id long, version long, at int, n int")
+    return rows.mapInArrow(X.tidy(each), "h long, doc_id long, version long, place int")
 
 
-def covered(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, version and spans (at, n) of the non-first repeated spans of each text that has any."""
-    rows = span_rows(documents, least, min_words)
-    where = F.struct("doc_id", "version", "at")
-    repeated = rows.groupBy("h").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select(F.col("h").alias("rh"), "first")
-    repeated = write_table(repeated, "repeated")  # the join below then deals rows out anew, and a frequent span's can be split
-    later = rows.join(repeated, (F.col("h") == F.col("rh")) & (where != F.col("first")))
-    return later.select("doc_id", "version", F.struct("at", "n").alias("span")).groupBy("doc_id", "version").agg(F.collect_set("span").alias("spans"))
+def first_places(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, version and the places of the spans of each text that are the first of their hash; a text without such a span has no row."""
+    first = span_rows(documents, least, min_words).groupBy("h").agg(F.min(F.struct("doc_id", "version", "place")).alias("first"))
+    return first.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version")).agg(F.collect_list("first.place").alias("places"))
 
 
 def dedup(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -99,23 +98,27 @@ def dedup(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WOR
     """
     documents = documents.drop("n_sentences", "n_removed")
     names = documents.columns
-    found = covered(documents, least, min_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
+    found = first_places(documents, least, min_words).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("places").alias("_places"))
     joined = documents.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
-    rows = joined.select(*(F.col(f"`{n}`") for n in names), "_spans")
+    rows = joined.select(*(F.col(f"`{n}`") for n in names), (F.col("doc_id").isNotNull()).alias("_counts"), "_places")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of, text_column = batch.column("_spans"), batch.column("text")
+            firsts, counts, text_column = batch.column("_places"), batch.column("_counts"), batch.column("text")
             texts_out, total, removed = [], [], []
             for lo, hi, texts in X.slices(text_column):
                 start, _, edge, at, _ = sentences(texts)
+                of, first, stop = bounds(edge, at, least, min_words)
+                own = np.searchsorted(of, np.arange(hi - lo + 1))
                 data = texts.data.tobytes()
                 for i in range(hi - lo):
                     n = int(at[i + 1] - at[i])
+                    later = np.full(own[i + 1] - own[i], counts[lo + i].as_py())
+                    if firsts[lo + i].is_valid:
+                        later[firsts[lo + i].values.to_numpy()] = False
                     drop = np.zeros(n + 1, np.int64)
-                    for s in (spans_of[lo + i].as_py() or []) if spans_of[lo + i].is_valid else []:
-                        drop[s["at"]] += 1
-                        drop[s["at"] + s["n"]] -= 1
+                    np.add.at(drop, first[own[i] : own[i + 1]][later] - at[i], 1)
+                    np.add.at(drop, stop[own[i] : own[i + 1]][later] - at[i], -1)
                     gone = np.cumsum(drop[:n]) > 0
                     total.append(n)
                     removed.append(int(gone.sum()))
@@ -131,4 +134,4 @@ def dedup(documents: DataFrame, least: int = SENTENCES, min_words: int = MIN_WOR
             columns = [pa.array(texts_out, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_sentences", "n_removed"])
 
-    return rows.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return rows.mapInArrow(X.tidy(each), T.StructType([*documents.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]))

@@ -206,4 +206,4 @@ def count(documents: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             size = np.concatenate(sizes) if sizes else n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], [*batch.schema.names, *names])
 
-    return documents.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]))
+    return documents.mapInArrow(X.tidy(each), T.StructType([*documents.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]))

@@ -1,15 +1,20 @@
 """URL filters: explicit rules, and a tree of path templates for what no rule decides.
 
-The tree of a host: path segments that vary (numbers, hashes, names with digits) become wildcards at
-once; a segment position becomes one where a branch has many different children for its rows. A
-template's labels are those of its rows; without a label table, what the rules decide are the
-labels (block 1, allow 0). Sibling templates whose shares of blocked labels don't differ by a
-two-proportion test are merged and pool their labels. A template is rejected if its purity, smoothed
-towards the overall share, reaches ``purity`` with ``least`` labels of its own or of the branches merged
-with it, at least one of them its own: a branch that no label has ever seen stays allowed.
-
-Null url or one without ``://``: host and path are empty, no rule fits, verdict allow. Segments beyond DEPTH join into one wildcard.
-Repeated rows are judged each and count in the statistics.
+Labels (1 bad, 0 good) come from a table or, without one, from the rules' verdicts and, where no rule fits, from a
+list of words: a url with one of them in its host or path is labelled bad, any other is presumed good. They
+are only evidence: what decides an unruled page is its template.
+
+The tree of a host: path segments that look like values (with a digit, or of over LONG characters) become wildcards at
+once; a position becomes one where a branch has many different children for its rows. From the last position to the
+first, siblings that differ there alone and whose shares of bad labels don't differ from their fellows' by a
+two-proportion test are merged into one branch, named ``(*)`` there, whose labels are those of all of them. A template is
+rejected if its purity, (bad + STRENGTH x overall share) / (labels + STRENGTH), reaches ``purity`` and it has
+``least`` labels. A branch without a label isn't merged and stays allowed. Only counts by host and template are
+shuffled, so a host with very many pages is a few rows; the verdicts return by a join on them.
+
+Null url or one without ``://``: host and path are empty, no rule fits; they form a template of their own.
+Repeated rows are judged each and count each. Only page_id and url are read (and page_id and label of a
+table of labels; the largest of several labels counts); other columns are left out. Paths may have any depth.
 """
 
 from __future__ import annotations
@@ -17,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinlab.storage import drop_table, write_table
+
 #: The rules (host and path, verdict).
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-DEPTH, MANY_CHILDREN, VARIETY = 4, 20, 0.5
+#: Words that label a url as bad where no rule fits.
+WORDS = ("casino", "poker", "bets", "betting", "lottery", "pills", "viagra", "porn", "xxx", "escort", "payday", "replica")
+LONG, MANY_CHILDREN, VARIETY = 40, 20, 0.5
 PURITY, LEAST, STRENGTH, Z = 0.9, 5, 2.0, 1.96
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -41,54 +50,62 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def _template(host: Column, path: Column) -> Column:
-    """Segments with those that look like values as wildcards; what lies beyond DEPTH is one."""
+def _template(path: Column) -> Column:
+    """Segments, with a wildcard for each that looks like a value."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(segments, lambda s: F.when(s.rlike(r"\d") | (F.char_length(s) > 40), "*").otherwise(s))
-    return F.when(F.size(general) <= DEPTH, general).otherwise(F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**"))))
+    return F.transform(segments, lambda s: F.when(s.rlike(r"\d") | (F.char_length(s) > LONG), "*").otherwise(s))
+
 
+def _put(level: int, sign: str) -> Column:
+    return F.transform("template", lambda s, i: F.when(i == level, sign).otherwise(s))
 
-def _wild(level: int) -> Column:
-    return F.transform("template", lambda s, i: F.when(i == level, "*").otherwise(s))
 
+def _kept(shapes: DataFrame, level: int) -> DataFrame:
+    """The table, written after some levels, so that a plan never holds more of them."""
+    return write_table(shapes, "shapes") if level % 4 == 3 else shapes
 
-def templates(rows: DataFrame) -> DataFrame:
-    """rows (host, path, and others) with template: the wildcards of the tree in place of varied segments.
 
-    Level by level: the children of a branch are counted, and a branch with many for its rows has
-    this position generalised. Only counts of branches are shuffled; the marks return by a join on the branch.
-    """
-    rows = rows.withColumn("template", _template(F.col("host"), F.col("path")))
-    for level in range(DEPTH):
+def generalise(shapes: DataFrame, depth: int) -> DataFrame:
+    """shapes (host, template, n, ...) with wildcards at the positions where a branch's children vary."""
+    for level in range(depth):
         branch, child = F.slice("template", 1, level) if level else F.array().cast("array<string>"), F.get("template", F.lit(level))
-        keys = rows.select("host", F.array_join(branch, "/").alias("branch"), child.alias("child")).filter("child IS NOT NULL AND child <> '*'")
-        children = keys.groupBy("host", "branch", "child").agg(F.count("*").alias("n"))
-        varied = children.groupBy("host", "branch").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter((F.col("kinds") > MANY_CHILDREN) & (F.col("kinds") >= VARIETY * F.col("n"))).select(F.col("host").alias("_h"), F.col("branch").alias("_b"))
-        joined = rows.join(varied, (F.col("host") == F.col("_h")) & (F.array_join(branch, "/") == F.col("_b")), "left")
-        rows = joined.withColumn("template", F.when(F.col("_h").isNotNull() & child.isNotNull(), _wild(level)).otherwise(F.col("template"))).drop("_h", "_b")
-    return rows.withColumn("template", F.array_join("template", "/"))
-
-
-def judge_templates(rows: DataFrame) -> DataFrame:
-    """host, template, own labels, pooled labels, purity and rejected, from rows (host, template, label 0/1/null)."""
-    seen = rows.filter("label IS NOT NULL")
-    own = seen.groupBy("host", "template").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-    parent = F.coalesce(F.regexp_extract("template", r"^(.*)/[^/]*$", 1), F.lit(""))
-    own = own.withColumn("parent", parent)
-    pool = own.groupBy(F.col("host").alias("_h"), F.col("parent").alias("_p")).agg(F.sum("n").alias("pool_n"), F.sum("bad").alias("pool_bad"))
-    prior = own.agg((F.sum("bad") / F.sum("n")).alias("prior"))  # one row
-    both = own.join(pool, (F.col("host") == F.col("_h")) & (F.col("parent") == F.col("_p"))).join(F.broadcast(prior))
-    others, p = F.col("pool_n") - F.col("n"), F.col("pool_bad") / F.col("pool_n")
-    error = F.sqrt(p * (1 - p) * (1 / F.col("n") + 1 / others))
-    differs = F.abs(F.col("bad") / F.col("n") - (F.col("pool_bad") - F.col("bad")) / others) > Z * error
-    alike = (others > 0) & ~F.coalesce(F.when(others > 0, differs), F.lit(True))
-    n, bad = F.when(alike, F.col("pool_n")).otherwise(F.col("n")), F.when(alike, F.col("pool_bad")).otherwise(F.col("bad"))
-    purity = (bad + STRENGTH * F.col("prior")) / (n + STRENGTH)
-    return both.select("host", "template", F.col("n").alias("own_labels"), n.alias("labels"), purity.alias("purity"), ((purity >= PURITY) & (n >= LEAST)).alias("rejected"))
-
-
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, labels: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity. labels: page_id and label (1: bad), in place of the rules' own."""
+        keys = shapes.select("host", branch.alias("branch"), child.alias("child"), "n").filter("child IS NOT NULL AND child <> '*'")
+        children = keys.groupBy("host", "branch", "child").agg(F.sum("n").alias("n"))
+        varied = children.groupBy(F.col("host").alias("_h"), F.col("branch").alias("_b")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter((F.col("kinds") > MANY_CHILDREN) & (F.col("kinds") >= VARIETY * F.col("n"))).select("_h", "_b")
+        joined = shapes.join(varied, (F.col("host") == F.col("_h")) & (branch == F.col("_b")), "left")
+        shapes = _kept(joined.withColumn("template", F.when(F.col("_h").isNotNull() & child.isNotNull(), _put(level, "*")).otherwise(F.col("template"))).drop("_h", "_b"), level)
+    return shapes
+
+
+def merge(shapes: DataFrame, depth: int) -> DataFrame:
+    """shapes (host, template, seen, bad, ...) with (*) for the siblings whose shares of bad labels are alike."""
+    for level in reversed(range(depth)):
+        own = shapes.groupBy("host", "template").agg(F.sum("seen").alias("n"), F.sum("bad").alias("b")).filter(f"n > 0 AND size(template) > {level}").withColumn("pool", _put(level, "(*)"))
+        pools = own.groupBy(F.col("host").alias("_h"), F.col("pool").alias("_p")).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.count("*").alias("k")).filter("k > 1")
+        others, p = F.col("pn") - F.col("n"), F.col("pb") / F.col("pn")
+        far = F.abs(F.col("b") / F.col("n") - (F.col("pb") - F.col("b")) / others) > Z * F.sqrt(p * (1 - p) * (1 / F.col("n") + 1 / others))
+        alike = own.join(pools, (F.col("host") == F.col("_h")) & (F.col("pool") == F.col("_p"))).filter(~far).select(F.col("host").alias("_oh"), F.col("template").alias("_ot"), "pool")
+        joined = shapes.join(alike, (F.col("host") == F.col("_oh")) & (F.col("template") == F.col("_ot")), "left")
+        shapes = _kept(joined.withColumn("template", F.coalesce("pool", "template")).drop("_oh", "_ot", "pool"), level)
+    return shapes
+
+
+def judge_templates(rows: DataFrame, purity: float = PURITY, least: int = LEAST) -> DataFrame:
+    """host, shape, template, labels, purity and rejected of every distinct (host, shape) of rows (host, path, label 0/1/null)."""
+    shapes = rows.groupBy("host", _template(F.col("path")).alias("shape")).agg(F.count("*").alias("n"), F.count("label").alias("seen"), F.sum(F.coalesce("label", F.lit(0))).alias("bad"))
+    shapes = write_table(shapes.withColumn("template", F.col("shape")), "shapes")
+    whole = shapes.agg(F.max(F.size("shape")).alias("depth"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
+    prior = (whole["bad"] or 0) / whole["seen"] if whole["seen"] else 0.0
+    tree = write_table(merge(generalise(shapes, whole["depth"] or 0), whole["depth"] or 0), "tree")
+    drop_table(shapes)
+    sums = tree.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.sum("seen").alias("labels"), F.sum("bad").alias("bad_labels"))
+    share = (F.col("bad_labels") + STRENGTH * prior) / (F.col("labels") + STRENGTH)
+    judged = tree.join(sums, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+    return judged.select("host", "shape", F.array_join("template", "/").alias("template"), "labels", share.alias("purity"), ((share >= purity) & (F.col("labels") >= least)).alias("rejected"))
+
+
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, labels: DataFrame | None = None, words: tuple[str, ...] = WORDS) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, labels and purity of every page. labels: page_id and label (1: bad), in place of the rules' and words'."""
     host, path = parse(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -97,12 +114,12 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, labels: DataFrame | N
         by_rule = F.when(F.col("rule") == rule, verdict).otherwise(by_rule)
     rows = rows.withColumn("by_rule", by_rule)
     if labels is None:
-        rows = rows.withColumn("label", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "block").cast("int")))
+        named = F.lower(F.concat("host", "path")).rlike(rf"(^|[^a-z])({'|'.join(words)})([^a-z]|$)") if words else F.lit(False)
+        rows = rows.withColumn("label", F.when(F.col("by_rule").isNotNull(), F.col("by_rule") == "block").otherwise(named).cast("int"))
     else:
-        known = labels.groupBy(F.col("page_id").alias("_page")).agg(F.max("label").cast("int").alias("label"))
+        known = labels.filter("page_id IS NOT NULL").groupBy(F.col("page_id").alias("_page")).agg(F.max("label").cast("int").alias("label"))
         rows = rows.join(known, F.col("page_id") == F.col("_page"), "left").drop("_page")
-    rows = templates(rows)
-    found = judge_templates(rows).select(F.col("host").alias("_h"), F.col("template").alias("_t"), "purity", "rejected")
-    rows = rows.join(found, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
-    verdict = F.coalesce("by_rule", F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    found = judge_templates(rows).withColumnsRenamed({"host": "_h", "shape": "_s"})
+    rows = rows.join(found, (F.col("host") == F.col("_h")) & (_template(F.col("path")) == F.col("_s")))
+    verdict = F.coalesce("by_rule", F.when(F.col("rejected"), "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "labels", "purity")

@@ -138,6 +138,64 @@ def test_urls(spark):
     labels = spark.createDataFrame([(i, int(i < 30)) for i in range(20)] + [(i, 0) for i in range(30, 50)], "page_id long, label int")
     verdicts = {r.page_id: r.verdict for r in url_templates.judge(pages, {}, labels).collect()}
     assert all((verdicts[i] == "block") == (i < 30) for i in verdicts)
+    assert url_templates.judge(empty(pages)).count() == 0
+    rows = [(None, None, "x", "y"), (1, "http://a.test/x", "x", "y"), (1, "http://a.test/x", "x", "y"), (2, "http://a.test/" + "d/" * 8 + "9", "x", "y")]
+    out = url_templates.judge(spark.createDataFrame(rows, "page_id long, url string, host string, template string"))
+    assert len(set(out.columns)) == len(out.columns) and out.count() == 4
+
+
+def test_url_tree_is_brute_force(spark):
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").collect()]
+    deep = [f"https://shop.test/{a}/{b}/{k}" for a in ("poker", "books", "toys") for b in ("x", "y") for k in range(9)] + [f"https://wide.test/poker-{chr(97 + k // 26)}{chr(97 + k % 26)}/end" for k in range(40)]
+    mixed = [f"https://mix.test/{'poker' if k % 2 else 'chess'}/{'ab'[k // 20]}/{k}" for k in range(40)]
+    pages += [(10**6 + i, u) for i, u in enumerate([*deep, *mixed, None, "nothing", None])]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template) for r in url_templates.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+
+    def facts(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host):])[0]
+        host = host.lower()
+        fits = [r for r in url_templates.RULES if (host == (n := r.split("/", 1)[0]) or host.endswith("." + n)) and path.startswith("/" + r.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        bad = url_templates.RULES[rule] == "block" if rule else bool(set(re.findall("[a-z]+", f"{host}{path}".lower())) & set(url_templates.WORDS))
+        return host, path, rule, int(bad), tuple("*" if re.search(r"\d", s) or len(s) > 40 else s for s in path.split("/") if s)
+
+    rows = {p: facts(u) for p, u in pages}
+    now = {p: r[4] for p, r in rows.items()}
+    depth = max(map(len, now.values()))
+    for level in range(depth):
+        children = collections.defaultdict(list)
+        for p, t in now.items():
+            if len(t) > level and t[level] != "*":
+                children[rows[p][0], t[:level]].append(t[level])
+        varied = {k for k, v in children.items() if len(set(v)) > 20 and len(set(v)) >= 0.5 * len(v)}
+        now = {p: (*t[:level], "*", *t[level + 1 :]) if len(t) > level and (rows[p][0], t[:level]) in varied else t for p, t in now.items()}
+    for level in reversed(range(depth)):
+        own = collections.defaultdict(list)
+        for p, t in now.items():
+            own[rows[p][0], t].append(rows[p][3])
+        pools = collections.defaultdict(list)
+        for (h, t), v in own.items():
+            if len(t) > level:
+                pools[h, (*t[:level], "(*)", *t[level + 1 :])].append((t, v))
+        moved = {}
+        for (h, w), group in pools.items():
+            n, b = sum(len(v) for _, v in group), sum(sum(v) for _, v in group)
+            for t, v in group if len(group) > 1 else []:
+                o, share = n - len(v), b / n
+                if not abs(sum(v) / len(v) - (b - sum(v)) / o) > 1.96 * (share * (1 - share) * (1 / len(v) + 1 / o)) ** 0.5:
+                    moved[h, t] = w
+        now = {p: moved.get((rows[p][0], t), t) for p, t in now.items()}
+    prior = sum(r[3] for r in rows.values()) / len(rows)
+    own = collections.defaultdict(list)
+    for p, t in now.items():
+        own[rows[p][0], t].append(rows[p][3])
+    rejected = {k for k, v in own.items() if len(v) >= 5 and (sum(v) + 2 * prior) / (len(v) + 2) >= 0.9}
+    want = {p: (*r[:3], url_templates.RULES[r[2]] if r[2] else "block" if (r[0], now[p]) in rejected else "allow", "/".join(now[p])) for p, r in rows.items()}
+    assert got == want
+    blocked = {r[0] for r in want.values() if r[2] is None and r[3] == "block"}
+    assert {"free-bets.example.com", "shop.test", "wide.test"} <= blocked and not any(r[3] == "block" for r in want.values() if r[2] is None and (r[0] == "blog.tionsh.example.com" or "/chess/" in r[1]))
 
 
 def test_mixing_meets_targets(docs, odd):

@@ -10,11 +10,12 @@ aggregation over the positions gives the ids and, by the token table, the decode
 One step of the recursion contracts all places of a word's least pair from left to right, as far as that is the same
 as one after the other: up to the first place where the new token and a neighbour make a pair of lower
 rank. Then a word takes about a step for each rank, not for each place, and
-one sign repeated n times takes log n steps. Letters, numbers and white space are what tiktoken's own
+one sign repeated n times takes log n steps. Words of up to PLAIN bytes take the leftmost place alone, which is cheaper
+for them and gives the same. Letters, numbers and white space are what tiktoken's own
 pattern engine takes for them.
 
 Memory: a slice of texts (a long text comes in parts), symbols of BYTES bytes of words or of one longer word, and a
-table of WORDS distinct short words that starts anew when it is full. Null text: the empty text (no tokens). Repeated rows are encoded
+table of distinct short words that keeps those of the last WORDS to twice as many. Null text: the empty text (no tokens). Repeated rows are encoded
 each. Other columns pass through; those named like a result are replaced.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from skeinlab.llm import _text as X
 from skeinlab.llm._files import send_file, sent_file
 
-BYTES, WORDS, SHORT = 1 << 18, 200_000, 64
+BYTES, WORDS, SHORT, PLAIN = 1 << 18, 150_000, 64, 32
 
 
 @lru_cache(2)
@@ -86,6 +87,47 @@ def pre_tokens(texts: X.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[at], np.append(place[at[1:]], len(texts.data)), np.searchsorted(at, bounds)
 
 
+#: The leftmost place of each word's least pair; enough for short words, and cheaper.
+_LEFTMOST = """
+WITH RECURSIVE step AS (
+  SELECT w, g, nx, t, false AS done FROM symbols
+  UNION ALL
+  (WITH now AS MATERIALIZED (SELECT w, g, nx, t FROM step WHERE NOT done),
+    best AS MATERIALIZED (
+      SELECT a.w, arg_min({'g': a.g, 'gone': b.g, 'nx': b.nx, 'r': m.r}, m.r::BIGINT * 4294967296 + a.g) AS x
+      FROM now a JOIN now b ON a.nx = b.g JOIN merges m ON m.a = a.t AND m.b = b.t GROUP BY a.w)
+  SELECT c.w, c.g, CASE WHEN c.g = x.g THEN x.nx ELSE c.nx END, CASE WHEN c.g = x.g THEN x.r ELSE c.t END, x IS NULL
+  FROM now c LEFT JOIN best USING (w) WHERE x IS NULL OR c.g <> x.gone)
+)"""
+#: All places that may be contracted at once.
+_ALL_PLACES = """
+WITH RECURSIVE step AS (
+  SELECT w, g, nx, t, false AS done FROM symbols
+  UNION ALL
+  (WITH now AS MATERIALIZED (SELECT w, g, nx, t FROM step WHERE NOT done),
+    pairs AS MATERIALIZED (
+      SELECT a.w, a.g, b.g AS gone, b.nx, m.r, m.risk
+      FROM now a JOIN now b ON a.nx = b.g JOIN merges m ON m.a = a.t AND m.b = b.t),
+    best AS MATERIALIZED (SELECT w, min(r) AS r FROM pairs GROUP BY w),
+    least AS MATERIALIZED (
+      SELECT p.w, p.g, p.gone, p.nx, p.r, p.risk, row_number() OVER (ORDER BY p.g) AS i, lag(p.gone) OVER (ORDER BY p.g) IS DISTINCT FROM p.g AS head
+      FROM pairs p JOIN best ON p.w = best.w AND p.r = best.r),
+    odd AS MATERIALIZED (SELECT * FROM (SELECT *, i - max(CASE WHEN head THEN i END) OVER (ORDER BY g) AS place FROM least) WHERE place % 2 = 0),
+    low AS (
+      SELECT o.w, o.g FROM odd o JOIN now n ON n.g = o.nx JOIN early e ON e.x = o.r AND e.side = 1 AND e.y = n.t WHERE o.risk
+      UNION ALL SELECT o.w, o.g FROM odd o JOIN now p ON p.nx = o.g JOIN early e ON e.x = o.r AND e.side = -1 AND e.y = p.t WHERE o.risk
+      UNION ALL SELECT o.w, o.g FROM odd o JOIN odd n ON n.g = o.nx JOIN early e ON e.x = o.r AND e.y = o.r WHERE o.risk),
+    chosen AS MATERIALIZED (
+      SELECT o.g, o.gone, o.nx, o.r FROM odd o LEFT JOIN (SELECT w, min(g) AS g FROM low GROUP BY w) l ON l.w = o.w WHERE l.g IS NULL OR o.g <= l.g)
+  SELECT c.w, c.g, coalesce(x.nx, c.nx), coalesce(x.r, c.t), best.w IS NULL
+  FROM now c LEFT JOIN best ON best.w = c.w LEFT JOIN chosen x ON x.g = c.g
+  WHERE c.g NOT IN (SELECT gone FROM chosen))
+)"""
+_RESULT = """
+SELECT w, count(*), string_agg(t::VARCHAR, ' ' ORDER BY g), string_agg(hex, '' ORDER BY g)
+FROM step JOIN vocabulary USING (t) WHERE done GROUP BY w"""
+
+
 class Encoder:
     """The tables of one tokenizer and, from open() to close(), an in-memory DuckDB of one thread that holds them."""
 
@@ -108,6 +150,7 @@ class Encoder:
         self.vocabulary = pa.table({"t": pa.array(self.table.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.table])})
         self.db = None
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.before: dict[bytes, tuple[int, bytes, bytes]] = {}  # the table before it was full
         self.first = np.array([self.table[bytes([b])] for b in range(256)], np.int32)
 
     def open(self) -> None:
@@ -125,14 +168,23 @@ class Encoder:
 
     def lookup(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """Number of ids, ids in decimal joined by a space, and decoded bytes of each word."""
-        out = list(map(self.known.get, words))
-        new = list(dict.fromkeys(w for w, v in zip(words, out, strict=True) if v is None))
-        if new:
+        get, before, late = self.known.get, self.before.get, []
+        out = list(map(get, words))
+        for i in [i for i, v in enumerate(out) if v is None]:
+            w = words[i]
+            v = get(w) or before(w)
+            if v is None:
+                late.append(i)
+            else:
+                out[i] = self.known[w] = v
+        if late:
+            new = list(dict.fromkeys(words[i] for i in late))
             found = dict(zip(new, self.words(new), strict=True))
-            out = [found[w] if v is None else v for w, v in zip(words, out, strict=True)]
-            if len(self.known) + len(found) > WORDS:
-                self.known = {}
-            self.known.update((w, v) for w, v in list(found.items())[:WORDS] if len(w) <= SHORT)
+            for i in late:
+                out[i] = found[words[i]]
+            self.known.update((w, v) for w, v in found.items() if len(w) <= SHORT)
+        if len(self.known) > WORDS:
+            self.known, self.before = {}, self.known
         return out
 
     def words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
@@ -159,31 +211,7 @@ class Encoder:
         g = np.arange(len(of), dtype=np.int32)
         after = np.where(np.append(of[1:], -1) == of, g + 1, -1).astype(np.int32)
         self.db.register("symbols", pa.table({"w": of, "g": g, "nx": after, "t": token}))
-        rows = self.db.execute("""
-            WITH RECURSIVE step AS (
-              SELECT w, g, nx, t, false AS done FROM symbols
-              UNION ALL
-              (WITH now AS MATERIALIZED (SELECT w, g, nx, t FROM step WHERE NOT done),
-                pairs AS MATERIALIZED (
-                  SELECT a.w, a.g, b.g AS gone, b.nx, m.r, m.risk
-                  FROM now a JOIN now b ON a.nx = b.g JOIN merges m ON m.a = a.t AND m.b = b.t),
-                best AS MATERIALIZED (SELECT w, min(r) AS r FROM pairs GROUP BY w),
-                least AS MATERIALIZED (
-                  SELECT p.w, p.g, p.gone, p.nx, p.r, p.risk, row_number() OVER (ORDER BY p.g) AS i, lag(p.gone) OVER (ORDER BY p.g) IS DISTINCT FROM p.g AS head
-                  FROM pairs p JOIN best ON p.w = best.w AND p.r = best.r),
-                odd AS MATERIALIZED (SELECT * FROM (SELECT *, i - max(CASE WHEN head THEN i END) OVER (ORDER BY g) AS place FROM least) WHERE place % 2 = 0),
-                low AS (
-                  SELECT o.w, o.g FROM odd o JOIN now n ON n.g = o.nx JOIN early e ON e.x = o.r AND e.side = 1 AND e.y = n.t WHERE o.risk
-                  UNION ALL SELECT o.w, o.g FROM odd o JOIN now p ON p.nx = o.g JOIN early e ON e.x = o.r AND e.side = -1 AND e.y = p.t WHERE o.risk
-                  UNION ALL SELECT o.w, o.g FROM odd o JOIN odd n ON n.g = o.nx JOIN early e ON e.x = o.r AND e.y = o.r WHERE o.risk),
-                chosen AS MATERIALIZED (
-                  SELECT o.g, o.gone, o.nx, o.r FROM odd o LEFT JOIN (SELECT w, min(g) AS g FROM low GROUP BY w) l ON l.w = o.w WHERE l.g IS NULL OR o.g <= l.g)
-              SELECT c.w, c.g, coalesce(x.nx, c.nx), coalesce(x.r, c.t), best.w IS NULL
-              FROM now c LEFT JOIN best ON best.w = c.w LEFT JOIN chosen x ON x.g = c.g
-              WHERE c.g NOT IN (SELECT gone FROM chosen))
-            )
-            SELECT w, count(*), string_agg(t::VARCHAR, ' ' ORDER BY g), string_agg(hex, '' ORDER BY g)
-            FROM step JOIN vocabulary USING (t) WHERE done GROUP BY w""").fetchall()
+        rows = self.db.execute((_LEFTMOST if len(chosen[-1]) <= PLAIN else _ALL_PLACES) + _RESULT).fetchall()
         self.db.unregister("symbols")
         for i, n, ids, text in rows:
             decoded = bytes.fromhex(text)
@@ -205,7 +233,7 @@ def encode(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
         encoder.open()
         try:
             for batch in batches:
-                for lo, hi, texts in X.slices(batch.column("text")):
+                for lo, hi, texts in X.slices(batch.column("text"), 4 * X.SLICE):
                     yield encoded(encoder, batch.slice(lo, hi - lo), texts)
         finally:
             encoder.close()

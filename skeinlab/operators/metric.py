@@ -1,7 +1,7 @@
 """Distances and neighbourhoods.
 
-Pairs of points are formed by an equi-join on pairs of blocks of vertices, so one large space is
-dealt out over many tasks. With a radius and few coordinates, points meet by grid cells instead, and far pairs are never formed.
+Pairs of points are formed by an equi-join on pairs of blocks of vertices, whose number follows from the
+space's size, so one large space is dealt out over many tasks. With a radius and few coordinates, points meet by grid cells instead, and far pairs are never formed.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinlab.plans.blocks import with_blocks
+
 BLOCKS = 8
 
 
@@ -24,25 +26,26 @@ def euclidean(x: Column, y: Column) -> Column:
     return F.sqrt(square_distance(x, y))
 
 
-def pairs(points: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def pairs(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """space_id, src, dst with src < dst, and x, y, whatever else the two points have (as structs). Each pair once."""
     others = [c for c in points.columns if c not in ("space_id", "v")]
-    rows = points.select("space_id", "v", F.struct(*others).alias("p") if others else F.lit(None).alias("p"), F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"))
-    left = rows.select(F.col("space_id").alias("s"), F.col("v").alias("v1"), F.col("p").alias("p1"), F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"))
+    named = points.select("space_id", "v", F.struct(*others).alias("p") if others else F.lit(None).alias("p"))
+    rows = with_blocks(named, blocks)
+    left = rows.select(F.col("space_id").alias("s"), F.col("v").alias("v1"), F.col("p").alias("p1"), F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("j"))
     right = rows.select(F.col("space_id").alias("s2"), F.col("v").alias("v2"), F.col("p").alias("p2"), F.col("b").alias("j2"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i2"))
     met = left.join(right, (F.col("s") == F.col("s2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & ((F.col("i") != F.col("j")) | (F.col("v1") < F.col("v2"))))
     up = F.col("v1") < F.col("v2")
     return met.select(F.col("s").alias("space_id"), F.least("v1", "v2").alias("src"), F.greatest("v1", "v2").alias("dst"), F.when(up, F.col("p1")).otherwise(F.col("p2")).alias("x"), F.when(up, F.col("p2")).otherwise(F.col("p1")).alias("y"))
 
 
-def distances(points: DataFrame, metric=euclidean, blocks: int = BLOCKS) -> DataFrame:
+def distances(points: DataFrame, metric=euclidean, blocks: int | None = None) -> DataFrame:
     """space_id, src, dst, d of all pairs. metric takes the two coordinate columns (for spaces without coords: the vertices)."""
     if "coords" in points.columns:
         return pairs(points, blocks).select("space_id", "src", "dst", metric(F.col("x.coords"), F.col("y.coords")).alias("d"))
     return pairs(points, blocks).select("space_id", "src", "dst", metric(F.col("src"), F.col("dst")).alias("d"))
 
 
-def edges(points: DataFrame, max_f: float = float("inf"), inclusive: bool = False, metric=euclidean, blocks: int = BLOCKS, grid_dims: int = 0) -> DataFrame:
+def edges(points: DataFrame, max_f: float = float("inf"), inclusive: bool = False, metric=euclidean, blocks: int | None = None, grid_dims: int = 0) -> DataFrame:
     """distances() below max_f (inclusive: up to it)."""
     d = within(points, max_f, grid_dims) if grid_dims and max_f < float("inf") else distances(points, metric, blocks)
     return d.filter(F.col("d") <= max_f) if inclusive else d.filter(F.col("d") < max_f)

@@ -111,15 +111,11 @@ def euler_characteristic(cells: DataFrame) -> DataFrame:
 def gabriel(points: DataFrame, max_dim: int = 2, own_vertices: str = "ignore") -> DataFrame:
     """Cells whose smallest enclosing ball has no point strictly inside; f is the diameter.
 
-    own_vertices='ignore' leaves the cell's own vertices out of that test, 'count' doesn't. Dimension 1 is
-    a join on the midpoint ball; from dimension 2 an Arrow kernel finds the balls.
+    own_vertices='ignore' leaves the cell's own vertices out of that test, 'count' doesn't (an edge's lie on its ball). Dimension 1 is
+    a kernel over blocks of vertices, with the distances of its space a few rows at a time; from dimension 2 an Arrow kernel finds the balls.
     """
-    d = M.distances(points)
-    x, y = points.select(F.col("space_id").alias("s1"), F.col("v").alias("v1"), F.col("coords").alias("x")), points.select(F.col("space_id").alias("s2"), F.col("v").alias("v2"), F.col("coords").alias("y"))
-    e = d.join(x, (F.col("space_id") == F.col("s1")) & (F.col("src") == F.col("v1"))).join(y, (F.col("space_id") == F.col("s2")) & (F.col("dst") == F.col("v2")))
-    balls = e.select("space_id", F.array("src", "dst").alias("cell"), F.lit(1).alias("dim"), F.col("d").alias("f"), F.zip_with("x", "y", lambda a, b: (a + b) / 2).alias("centre"), (F.col("d") / 2).alias("radius"))
-    parts = {0: vertices(points), 1: _empty(balls, points, own_vertices)}
-    full = stratified(points, d, max_dim)
+    parts = {0: vertices(points), 1: gabriel_edges(points)}
+    full = stratified(points, M.distances(points), max_dim) if max_dim > 1 else {}
     for k in range(2, max_dim + 1):
         corner = points.select(F.col("space_id").alias("s1"), F.col("v").alias("v1"), F.col("coords").alias("x"))
         corners = full[k].select("*", F.explode("cell").alias("w")).join(corner, (F.col("space_id") == F.col("s1")) & (F.col("w") == F.col("v1"))).groupBy("space_id", "cell", "dim", "f").agg(F.collect_list("x").alias("corners"))
@@ -127,6 +123,40 @@ def gabriel(points: DataFrame, max_dim: int = 2, own_vertices: str = "ignore") -
     return concatenated(parts)
 
 
+def gabriel_edges(points: DataFrame, block: int = 64) -> DataFrame:
+    """The edges of gabriel(): a point c is inside the ball of ab if |ac|^2 + |bc|^2 is less than |ab|^2.
+
+    Every block of ``block`` vertices of a space is a task that holds the space's coordinates; the work is n^3 over all blocks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n = points.groupBy(F.col("space_id").alias("_s")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = points.select("space_id", "v", F.col("coords").cast("array<double>").alias("coords")).join(n, F.col("space_id") == F.col("_s")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def each(rows: pa.Table) -> pa.Table:
+        v = rows.column("v").to_numpy()
+        order = np.argsort(v, kind="stable")
+        v = v[order]
+        x = np.array(rows.column("coords").to_pylist(), float)[order]
+        number, blocks = rows.column("block")[0].as_py(), rows.column("blocks")[0].as_py()
+        cells, lengths = [], []
+        for a in range(number, len(v), blocks):
+            from_a = ((x - x[a]) ** 2).sum(1)
+            for lo in range(a + 1, len(v), 32):
+                own = slice(lo, min(lo + 32, len(v)))
+                from_b = ((x[own, None] - x[None]) ** 2).sum(2)
+                quarter = from_a[own] / 4
+                empty = ~(((from_a[None] + from_b) / 2 - quarter[:, None]) < (quarter * (1 - 1e-9) ** 2)[:, None]).any(1)
+                for k in np.flatnonzero(empty) + lo:
+                    cells.append([int(v[a]), int(v[k])])
+                    lengths.append(float(from_a[k] ** 0.5))
+        space = pa.array([rows.column("space_id")[0].as_py()] * len(cells), pa.int64())
+        return pa.table([space, pa.array(cells, pa.list_(pa.int64())), pa.array([1] * len(cells), pa.int32()), pa.array(lengths, pa.float64())], ["space_id", "cell", "dim", "f"])
+
+    return dealt.groupBy("space_id", "block").applyInArrow(each, "space_id long, cell array<long>, dim int, f double")
+
+
 def _empty(balls: DataFrame, points: DataFrame, own_vertices: str) -> DataFrame:
     p = points.select(F.col("space_id").alias("_s"), F.col("v").alias("_v"), F.col("coords").alias("_x"))
     inside = M.euclidean(F.col("centre"), F.col("_x")) < F.col("radius") * (1 - 1e-9)

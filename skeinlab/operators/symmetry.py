@@ -80,10 +80,15 @@ def expand(representatives: DataFrame, action: DataFrame) -> DataFrame:
 
 
 def orbit_ranges(representatives: DataFrame, action: DataFrame) -> DataFrame:
-    """cell, size of its orbit, and start: the place of the orbit's first cell in the expanded list."""
-    sizes = orbits(representatives, action).groupBy("cell").agg(F.count("*").alias("size"))
-    w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("cell", "size", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("start"))
+    """cell, size of its orbit, and start: the place of the orbit's first cell in the expanded list.
+
+    Orbits are numbered within groups of one first vertex; only the groups' totals meet in one window.
+    """
+    sizes = orbits(representatives, action).groupBy("cell").agg(F.count("*").alias("size")).withColumn("g", F.get("cell", F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("g").agg(F.sum("size").alias("size")).select(F.col("g").alias("_g"), before(Window.orderBy("g")).alias("_start"))
+    rows = sizes.join(groups, F.col("g").eqNullSafe(F.col("_g")))
+    return rows.select("cell", "size", (F.col("_start") + before(Window.partitionBy("g").orderBy("cell"))).alias("start"))
 
 
 def element(representatives: DataFrame, action: DataFrame, i: int) -> DataFrame:

@@ -1 +1 @@
-"""Registered queries."""
+"""How work on one space is dealt out over tasks."""

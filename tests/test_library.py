@@ -86,7 +86,7 @@ def test_gabriel_graph_has_every_space_and_coordinate(spark, tmp_path):
         rest = [c for c in at if c not in (a, b) and at[c][0] == at[a][0]]
         if at[a][0] == at[b][0] and not any(inside(a, b, c) for c in rest):
             want.add((at[a][0], f"{a}-{b}"))
-    got = [(r.space_id, r.cell) for r in catalogue.QUERIES["gabriel_graph"](spark, str(tmp_path)).collect()]
+    got = [(r.space_id, r.cell) for r in catalogue.QUERIES["gabriel_edges"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and {s for s, _ in want} == {0, 1, 2} and len(want) < 315
 
 
@@ -155,3 +155,34 @@ def test_spheres_torus_and_quotients(spark):
     point = ss.SimplicialSet({0: 0}, {})
     to_point = {0: (0, ()), 1: (0, (0,))}
     assert ss.pullback(ss.sphere(1), ss.sphere(1), to_point, to_point).f_vector(2) == torus.f_vector(2) and point.euler() == 1
+
+
+@pytest.mark.parametrize("field", [fields.Prime(2), fields.Prime(5), fields.Reals()])
+def test_bars_alone_are_those_with_cycles(field):
+    rnd = random.Random(7)
+    for n in (0, 1, 6, 9):
+        cells = [(float(rnd.randrange(3)) if k else 0.0, k, c) for k in range(4) for c in itertools.combinations(range(n), k + 1)]
+        value = {}
+        for f, k, c in cells:
+            value[c] = max([f, *(value[x] for x in itertools.combinations(c, k) if x)])
+        own = [(value[c], k, c, [c[:i] + c[i + 1 :] for i in range(k + 1)] if k else [], [(-1) ** i for i in range(k + 1)] if k else []) for _, k, c in cells]
+        rnd.shuffle(own)
+        whole = sorted(x[:5] for x in homology.reduce_space(own, field))
+        assert sorted(homology.reduce_bars([*own, *own[:3]], field), key=repr) == sorted(whole, key=repr)
+    with pytest.raises(ValueError):
+        list(homology.reduce_bars([(0.0, 0, (1,), [], []), (1.0, 1, (1, 2), [(2,), (1,)], [1, -1])], field))
+
+
+def test_core_takes_odd_tables(spark):
+    points = spark.createDataFrame([(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.0]), (1, 5, [3.0, 3.0])], "space_id long, v long, coords array<double>")
+    assert bars_of(homology.bars(rips.vietoris_rips(points))) == sorted([(0, 0, 0), (0, 0, 1), (0, 0, INF), (0, 0, INF), (1, 1, 1)])
+    assert bars_of(homology.by_dimension(points, M.edges(points), 2).select("dim", "birth", "death")) == bars_of(homology.bars(rips.vietoris_rips(points)))
+    empty = points.filter("false")
+    assert M.distances(empty).count() == homology.bars(rips.vietoris_rips(empty)).count() == rips.gabriel(empty, 1).count() == 0
+    assert [tuple(r) for r in M.distances(points).orderBy("src", "dst").collect()] == [(0, 0, 1, 1.0), (0, 0, 2, 1.0), (0, 1, 2, 0.0)]
+
+
+def test_names_of_the_package():
+    import skeinlab
+
+    assert all(hasattr(skeinlab, n) for n in skeinlab.__all__)

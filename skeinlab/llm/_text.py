@@ -21,18 +21,23 @@ _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
 
+def release_memory() -> None:
+    """What Arrow and the C library hold unused goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The kernel; at the end of its task what Arrow and the C library hold unused goes back to the system, as workers live on between tasks."""
+    """The kernel; at the end of its task unused memory goes back to the system, as workers live on between tasks."""
 
     @functools.wraps(kernel)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-            if trim:
-                trim(0)
+            release_memory()
 
     return each
 

@@ -118,9 +118,12 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
     bounded = F.broadcast(chosen.select("doc_id", F.col("label").cast("int").alias("label")))  # max_rows rows of two numbers
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded, "doc_id").select("doc_id", "label", "text")
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text for each label, so max_rows bounds what is gathered
-    found = rows.mapInArrow(X.tidy(_sparse), "doc_id long, label int, at binary, share binary").toArrow().to_pylist()
-    found.sort(key=lambda r: r["doc_id"])
-    return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r["label"]) for r in found], epochs, alpha, beta, l1, l2)
+    found = rows.mapInArrow(X.tidy(_sparse), "doc_id long, label int, at binary, share binary").toArrow().sort_by("doc_id")
+    labelled, at, share = (found.column(n) for n in ("label", "at", "share"))
+    model = ftrl([(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32), y.as_py()) for a, x, y in zip(at, share, labelled, strict=True)], epochs, alpha, beta, l1, l2)
+    del found, labelled, at, share
+    X.release_memory()
+    return model
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

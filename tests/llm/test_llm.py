@@ -62,6 +62,26 @@ def test_jaccard_finds_every_link(docs, odd):
     assert ngram_jaccard.join(empty(docs)).count() == 0
 
 
+def test_jaccard_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {}
+    for r in docs.collect():
+        w = (r.text or "").split()
+        if w:
+            own[r.doc_id] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    assert len(own) >= 900
+    ids, links = sorted(own), collections.Counter()
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if 5 * min(len(own[i]), len(own[j])) >= 4 * max(len(own[i]), len(own[j])):
+                both = len(own[i] & own[j])
+                if 5 * both >= 4 * (len(own[i]) + len(own[j]) - both):
+                    links[i] += 1
+                    links[j] += 1
+    got = {r.doc_id: r.n_links for r in ngram_jaccard.join(docs).collect()}
+    assert all(got[i] <= links[i] for i in ids) and sum(got.values()) >= 0.99 * sum(links.values()) > 100
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
     monkeypatch.setattr(ngram_jaccard, "BRUTE", 8)
@@ -384,11 +404,130 @@ def test_long_spans_hash_apart():
     assert h[0] == h[2] != h[1] and h[3] == text_kernels.span_hashes(values[:300], np.array([0]), np.array([300]))[0]
 
 
-def test_pipeline(spark):
+def test_quality_distances_are_brute_force(docs):
+    import regex
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    rows = {r.doc_id: r for r in docs.collect()}
+    classes, words = {}, {}
+    for d, r in rows.items():
+        own, common = word.findall(r.text), quality_rules.COMMON_WORDS.get(r.lang, [])
+        chars = sum(map(len, own))
+        parts = [len(regex.findall(p, r.text)) for p in (r"\p{Lu}", "[0-9]", r"""[.,;:!?'"()-]""", r"[#*$%&|<>]")]
+        classes[d] = [chars - sum(parts), parts[0], parts[1], len(r.text) - chars, *parts[2:]]
+        low = collections.Counter(w.lower() for w in own)
+        words[d] = [low[c] for c in common] + [len(own) - sum(low[c] for c in common)]
+
+    def distance(x, y):
+        p, q = (np.array(v, float) / max(1, sum(v)) for v in (x, y))
+        m = (p + q) / 2
+        return sum((v[v > 0] * np.log2(v[v > 0] / m[v > 0])).sum() for v in (p, q)) / 2
+
+    sums = {lang: tuple(np.sum([x[d] for d in rows if rows[d].lang == lang], axis=0) for x in (classes, words)) for lang in {r.lang for r in rows.values()}}
+    for r in quality_rules.judge(docs).collect():
+        one, two = (max(0, distance(x[r.doc_id], ref)) ** 0.5 for x, ref in zip((classes, words), sums[rows[r.doc_id].lang], strict=True))
+        assert (r.class_distance, r.word_distance) == (pytest.approx(one, abs=1e-6), pytest.approx(two, abs=1e-6))
+        near = r.n_words < quality_rules.GUARD or (one <= quality_rules.MOST_CLASS and (one <= quality_rules.DOUBT_CLASS or two <= quality_rules.DOUBT_WORD))
+        assert r.kept == (near and not r.base_failed)
+
+
+def test_license_labels_are_brute_force(spark, docs):
+    index = license_scan.Index()
+    made = [(10**6 + k, f"Some words here. {text.title()}, and so on.") for k, (_, text, _) in enumerate(license_scan.TEMPLATES)] + [(2 * 10**6, "license " * 2000), (2 * 10**6, "license " * 2000), (None, None)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    seen = set()
+    for r in license_scan.scan(df).join(df.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d")).collect():
+        w = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        want, best = set(r.base_labels.split(",")) - {""}, 0.5 if r.n_base else 0.0
+        shares = []
+        for (label, text, phrases), (_, hashes, _), weight in zip(license_scan.TEMPLATES, index.templates, index.weight, strict=True):
+            t = text.split()
+            for start in range(-len(t), len(w)) if len(w) < 500 else ():
+                share = sum(index.idf[h] for i, (x, h) in enumerate(zip(t, hashes, strict=True)) if 0 <= start + i < len(w) and w[start + i] == x) / weight
+                near = f" {' '.join(w[max(0, start - 3) : max(0, start + len(t) + 3)])} "
+                if share >= license_scan.LEAST_SHARE and all(f" {p} " in near for p in phrases):
+                    want.add(label)
+                    shares.append(share)
+        if len(w) < 500:
+            assert r.labels == ",".join(sorted(want)) and r.score == pytest.approx(min(1.0, max(shares, default=best)))
+        seen |= want
+    assert {label for label, _, _ in license_scan.TEMPLATES} <= seen
+
+
+def test_mixing_meets_every_marginal(spark, docs, odd):
+    rows = mixing.mix(docs).collect()
+    for key in ("source", "lang", "mix_topic"):
+        own, drawn = collections.Counter(), collections.Counter()
+        for r in rows:
+            own[r[key]] += r.tokens
+            drawn[r[key]] += r.tokens * r.weight
+        goal = {k: n**0.8 for k, n in own.items()}
+        assert all(abs(drawn[k] / sum(drawn.values()) - goal[k] / sum(goal.values())) < 1e-4 for k in own)
+    assert {r.deviation < 1e-4 for r in rows} == {True}
+    two = spark.createDataFrame([(1, "a b", "p", "en", "t"), (2, "c d", "q", "de", "t"), (3, None, "r", None, "t")], "doc_id long, text string, source string, lang string, topic string")
+    shares = {"source": spark.createDataFrame([("p", 0.9), ("q", 0.1)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.1), ("de", 0.9)], "value string, share double")}
+    assert all(r.deviation > 0.1 for r in mixing.mix(two, shares).collect())
+    none = mixing.mix(odd.withColumn("text", F.lit(None).cast("string"))).collect()
+    assert {(r.probability, r.kept, r.tokens) for r in none} == {(1.0, True, 0)} and len(none) == odd.count()
+
+
+def test_classifier_takes_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (5, 0), (5, 0), (6, None), (None, 1), (7, 1), (7, 0)], "doc_id long, quality int")
+    model = quality_classifier.train(odd.unionByName(odd).unionByName(odd), labels)
+    assert (model.weights == quality_classifier.train(odd, labels).weights).all()
+    out = quality_classifier.score(odd, model)
+    assert out.columns.count("score") == 1 and out.count() == odd.count()
+    scores = {r.text: r.score for r in out.collect()}
+    assert scores[None] == scores[""] == scores[" "] == pytest.approx(1 / (1 + np.exp(-model.intercept)))
+    for text, score in scores.items():
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        assert score == pytest.approx(quality_classifier.dot(model, text_kernels.Texts(data, np.array([0, len(data)])))[0])
+
+
+def test_pipeline(spark, odd):
     import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = corpus_pipeline.classify(spark, whole, SF)
+    model = quality_classifier.train(whole, spark.read.parquet(f"{SF}/labels.parquet").filter(~held_out()))
+    want = [r.doc_id for r in quality_classifier.score(whole, model).collect() if r.score >= 0.7]
+    kept = sorted(docs.collect())
+    assert docs.columns == whole.columns and sorted(r.doc_id for r in kept) == sorted(want) and 0 < len(kept) < whole.count()
+
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r in kept if (w := r.text.split())}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = corpus_pipeline.classify(spark, docs, SF)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(kept, whole.schema), SF)
+    kept = sorted(docs.collect())
+    assert docs.columns == whole.columns and {r.doc_id for r in kept} == {root(d) for d in sets}
+
+    docs = corpus_pipeline.repeated_spans(spark, spark.createDataFrame(kept, whole.schema), SF)
+    before = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(kept, whole.schema)).collect()}
+    cut = sorted(docs.collect())
+    assert docs.columns == whole.columns and [(r.doc_id, r.text) for r in cut] == sorted((d, r.text) for d, r in before.items() if not r.n_removed or r.text.strip())
+    assert all(r.n_chars == len(r.text) for r in cut if before[r.doc_id].n_removed)
+
+    docs = corpus_pipeline.mix(spark, spark.createDataFrame(cut, whole.schema), SF)
+    mixed = sorted(docs.collect())
+    drawn = [r.doc_id for r in mixing.mix(spark.createDataFrame(cut, whole.schema)).collect() if r.kept]
+    assert docs.columns == whole.columns and [r.doc_id for r in mixed] == sorted(drawn) and set(mixed) <= set(cut)
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(tokenizer_file("byte_bpe_50k.tiktoken")), special_tokens={})
     out = corpus_pipeline.run(spark, SF).collect()
-    assert out and {"doc_id", "token_ids", "n_tokens"} <= set(out[0].asDict())
+    assert sorted(r.doc_id for r in out) == [r.doc_id for r in mixed]
+    assert all(r.token_ids == " ".join(map(str, library.encode_ordinary(r.text))) for r in out)
+
+    for _, stage in corpus_pipeline.STAGES:  # odd rows and none
+        got, none = stage(spark, odd, SF), stage(spark, empty(odd), SF)
+        assert set(odd.columns) <= set(got.columns) and got.count() <= odd.count() and none.count() == 0

@@ -95,6 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ngram_jaccard, op2_quality_rules, op3_license_scan, op4_url_templates, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_fingerprints, op9_byte_bpe, op10_token_counts)
 }
-#: Most of the methods above are no SQL queries (models, tokenizers, fingerprints). The rules of op2 and op4 could be put in
-#: SQL; it is missing. tests/llm has brute force or a library for all of op1, op7 to op10, for the basic columns of op2 and op3, and made cases for op4 to op6.
+#: Most of the methods above are no SQL queries (models, tokenizers, fingerprints); for the basic columns of op2 to op4 it is
+#: missing. tests/llm compares all with brute force, a library or held-out labels.
 ORACLE_SQL: dict[str, str] = {}

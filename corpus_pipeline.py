@@ -3,8 +3,11 @@
 Every function takes (spark, docs, sf_dir). run() writes each stage's rows as Parquet in the shared
 folder and reads them again as the next one's docs. All but the last return the columns of
 documents; the last adds the tokens. The stages have no SQL form (a model, a similarity join,
-hashed spans, raking, a tokenizer), so ORACLE_SQL is None. Tests compare the join and the spans with brute force
-and the tokenizer with its library; the classifier, the mixing and run() as a whole have no such comparison.
+hashed spans, raking, a tokenizer), so ORACLE_SQL is None; tests compare each stage with brute force or the library.
+
+Null doc_id: such rows are scored, kept by the Jaccard stage, not cut, mixed and encoded. Null or empty text: scored as the
+empty text, otherwise kept. Rows that repeat doc_id and text: one stays in the Jaccard stage. Other columns pass through; those
+named like a stage's own results (n_tokens and the like) are replaced in that stage.
 """
 
 from __future__ import annotations

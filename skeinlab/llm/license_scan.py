@@ -1,11 +1,12 @@
 """License scans with a positional index of rare licence words.
 
 The index holds, for each word of the licence templates, its postings (template, position) and its
-inverse document frequency over the templates. A file's words that are in the index with the
-highest frequencies are looked up; each posting votes for (template, place of the template's first
-word in the file), so templates that the file holds gather their votes at one relative position.
-A place with enough of the template's weight is a match if every mandatory phrase of the template
-stands in the file near it.
+inverse document frequency over the templates. Of each template the places of highest inverse frequency open a
+look-up, as many as together weigh more than a match may lack; so a file that holds the template has at least one of
+them at its place, and no match is lost by leaving the frequent words out. A file's words that are openers are looked up; each
+posting names a template and the place of its first word in the file, where the template's other postings are then
+intersected by relative position. A place with enough of the template's weight is a match if every mandatory phrase of the
+template stands in the file near it.
 
 Independent of that, base phrases are counted at every place where their words stand consecutively.
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Null or empty text: no words, no labels, score
@@ -47,7 +48,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("reserved", "all rights reserved", ["all rights reserved"]),
 ]
-LEAST_SHARE, RARE_WORDS = 0.75, 6
+LEAST_SHARE = 0.75
 
 
 def _hash(word: str) -> int:
@@ -62,25 +63,33 @@ class Index:
         self.templates = [(label, [_hash(w) for w in text.split()], [[_hash(w) for w in p.split()] for p in phrases]) for label, text, phrases in templates]
         df = Counter(h for _, words, _ in self.templates for h in set(words))
         self.idf = {h: math.log((1 + len(self.templates)) / n) for h, n in df.items()}
-        self.postings = defaultdict(list)
-        for k, (_, words, _) in enumerate(self.templates):
-            for i, h in enumerate(words):
-                self.postings[h].append((k, i))
         self.weight = [sum(self.idf[h] for h in words) for _, words, _ in self.templates]
-        #: The rarest words of each template: only they open a look-up.
-        self.rare = np.array(sorted({h for _, words, _ in self.templates for h in sorted(set(words), key=lambda h: (-self.idf[h], h))[:RARE_WORDS]}), np.uint64)
-
-    def matches(self, hashes: list[int], at: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, words, share) of the templates that stand in a text; at: places of rare words."""
-        starts = {(k, p - i) for p in at.tolist() for k, i in self.postings[hashes[p]]}
+        #: Postings (template, place) of the words that open a look-up.
+        self.openers: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, (_, text, _) in enumerate(templates):
+            words, held = self.templates[k][1], 0.0
+            signs = [len(w) for w in text.split()]
+            for i in sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], -signs[i], i)):
+                if held > (1 - LEAST_SHARE) * self.weight[k] + 1e-9:
+                    break
+                self.openers[words[i]].append((k, i))
+                held += self.idf[words[i]]
+        self.rare = np.array(sorted(self.openers), np.uint64)
+
+    def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """(label, first word, words, share) of the templates that stand in a text; words: its hashes, at: the places of openers."""
+        starts = {(k, p - i) for p in at.tolist() for k, i in self.openers[int(words[p])]}
         found = []
         for k, start in sorted(starts):
-            label, words, phrases = self.templates[k]
-            here = [hashes[start + i] if 0 <= start + i < len(hashes) else None for i in range(len(words))]
-            share = sum(self.idf[w] for w, h in zip(words, here, strict=True) if w == h) / self.weight[k]
-            near = hashes[max(0, start - 3) : max(0, start + len(words) + 3)]
-            if share >= LEAST_SHARE and all(any(near[i : i + len(p)] == p for i in range(len(near) - len(p) + 1)) for p in phrases):
-                found.append((label, start, len(words), share))
+            label, own, phrases = self.templates[k]
+            skipped = max(0, -start)
+            here = words[start + skipped : start + len(own)].tolist()
+            share = sum(self.idf[w] for w, h in zip(own[skipped:], here, strict=False) if w == h) / self.weight[k]
+            if share < LEAST_SHARE:
+                continue
+            near = words[max(0, start - 3) : max(0, start + len(own) + 3)].tolist()
+            if all(any(near[i : i + len(p)] == p for i in range(len(near) - len(p) + 1)) for p in phrases):
+                found.append((label, start, len(own), share))
         return found
 
 
@@ -111,7 +120,7 @@ def scan(documents: DataFrame, base: dict[str, str] = BASE_PHRASES, templates: l
                     by_text[int(of[p])].append((p, j))
                 for i in range(len(texts)):
                     own = by_text.get(i, [])
-                    found = index.matches(words[before[i] : before[i + 1]].tolist(), rare[edge[i] : edge[i + 1]] - before[i]) if edge[i] < edge[i + 1] else []
+                    found = index.matches(words[before[i] : before[i + 1]], rare[edge[i] : edge[i + 1]] - before[i]) if edge[i] < edge[i + 1] else []
                     base_labels = {phrases[j][1] for _, j in own}
                     out["n_words"].append(int(before[i + 1] - before[i]))
                     out["n_base"].append(len(own))

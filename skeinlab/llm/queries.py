@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlab.llm import sql
 from skeinlab.shipping import ship
 
 
@@ -38,7 +39,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlab.llm.quality_rules import judge
 
-    return judge(_table(spark, sf_dir, "documents"))
+    return judge(_table(spark, sf_dir, "documents")).withColumns({n: F.round(n, 6) for n in ("class_distance", "word_distance")})
 
 
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ngram_jaccard, op2_quality_rules, op3_license_scan, op4_url_templates, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_fingerprints, op9_byte_bpe, op10_token_counts)
 }
-#: Most of the methods above are no SQL queries (models, tokenizers, fingerprints); for the basic columns of op2 to op4 it is
-#: missing. tests/llm compares all with brute force, a library or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+#: The others are no SQL queries (models, tokenizers, fingerprints, spans) or have none yet (op3, op4). tests/llm compares all with brute
+#: force, a library or held-out labels.
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skeinlab.llm import _text as text_kernels
 from skeinlab.llm import byte_bpe, fingerprints, license_scan, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_counts, url_templates
-from skeinlab.llm.queries import held_out, tokenizer_file
+from skeinlab.llm.queries import ORACLE_SQL, QUERIES, held_out, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "one two", "one two", "é ñ\n\nß x's don't 'search  12 34\t", "<|endoftext|>a <|startoftext|>", "x" * 5000, "İstanbul Σ é", "The license: CC BY-NC 4.0, all rights\nreserved.", "日本語 👍🏽 '"]
@@ -531,3 +531,18 @@ def test_pipeline(spark, odd):
     for _, stage in corpus_pipeline.STAGES:  # odd rows and none
         got, none = stage(spark, odd, SF), stage(spark, empty(odd), SF)
         assert set(odd.columns) <= set(got.columns) and got.count() <= odd.count() and none.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_agree_with_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES[name](spark, folder)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        found = db.execute(ORACLE_SQL[name])
+        names = [d[0] for d in found.description]
+        assert sorted(names) == sorted(got.columns)
+        rows = found.fetchall()
+    assert collections.Counter(rows) == collections.Counter(tuple(r) for r in got.select(*names).collect())

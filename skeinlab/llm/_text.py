@@ -29,11 +29,27 @@ def release_memory() -> None:
         trim(0)
 
 
-def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The kernel; at the end of its task unused memory goes back to the system, as workers live on between tasks."""
+_kept: set[Callable[[], None]] = set()
+
+
+def begin(free: Callable[[], None] | None) -> None:
+    """A worker's task begins: what kernels of another kind keep there goes."""
+    for other in _kept - {free}:
+        other()
+    _kept.clear()
+    if free:
+        _kept.add(free)
+
+
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], free: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel; at the end of its task unused memory goes back to the system, as workers live on between tasks.
+
+    free drops what the kernel keeps from task to task; it is called before a task of another kernel.
+    """
 
     @functools.wraps(kernel)
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(free)
         try:
             yield from kernel(batches)
         finally:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from skeinlab.llm import _text as X
 from skeinlab.llm._files import send_file, sent_file
 
-BYTES, WORDS, SHORT, PLAIN = 1 << 18, 150_000, 64, 32
+BYTES, WORDS, SHORT, PLAIN = 1 << 18, 100_000, 64, 32
 
 
 @lru_cache(2)
@@ -218,6 +218,12 @@ class Encoder:
             out[which[i]] = (n, ids.encode(), words[which[i]] if words[which[i]] == decoded else decoded)  # one object for both
 
 
+def forget() -> None:
+    """Drop the tables and words that a worker keeps between the tasks of this kernel."""
+    Encoder._held.clear()
+    ranks.cache_clear()
+
+
 RESULT = {"n_tokens": "long", "token_ids": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -229,11 +235,11 @@ def encode(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
     name = send_file(documents.sparkSession, path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(sent_file(name))  # it and its table of words outlive the task, with their worker
+        encoder = Encoder.of(sent_file(name))  # it and its table of words outlive the task, until the worker begins another kernel
         encoder.open()
         try:
             for batch in batches:
-                for lo, hi, texts in X.slices(batch.column("text"), 4 * X.SLICE):
+                for lo, hi, texts in X.slices(batch.column("text")):
                     yield encoded(encoder, batch.slice(lo, hi - lo), texts)
         finally:
             encoder.close()
@@ -257,4 +263,4 @@ def encode(documents: DataFrame, path: str, ids: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(columns[n], arrow[RESULT[n]]) for n in names)], [*rows.schema.names, *names])
 
     kinds = {"long": T.LongType(), "string": T.StringType()}
-    return documents.mapInArrow(X.tidy(each), T.StructType([*documents.schema.fields, *(T.StructField(n, kinds[RESULT[n]]) for n in names)]))
+    return documents.mapInArrow(X.tidy(each, forget), T.StructType([*documents.schema.fields, *(T.StructField(n, kinds[RESULT[n]]) for n in names)]))

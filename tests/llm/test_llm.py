@@ -382,6 +382,18 @@ def test_byte_bpe_is_the_library(spark, docs, odd):
     assert byte_bpe.encode(empty(docs), path).count() == 0
 
 
+def test_a_worker_drops_the_tokenizer_before_another_kernel():
+    def run(free=None):
+        return list(text_kernels.tidy(lambda batches: batches, free)(iter(())))
+
+    run(byte_bpe.forget)
+    byte_bpe.Encoder.of(tokenizer_file("byte_bpe_50k.tiktoken"))
+    run(byte_bpe.forget)
+    assert byte_bpe.Encoder._held  # tasks of one kernel share it
+    run()
+    assert not byte_bpe.Encoder._held
+
+
 def test_token_counts_are_the_library(spark, docs, odd):
     path = tokenizer_file("word_bpe_49k.json")
     library = token_counts.tokenizer(path)

@@ -260,6 +260,18 @@ def test_bars_of_dimension_0_from_edges_of_tiles(clouds, block):
     same(homology.bars(cells).filter("dim = 0").select("space_id", "birth", "death"), homology.bars(rips.vietoris_rips(clouds, max_dim=1)).filter("dim = 0").select("space_id", "birth", "death"))
 
 
+@pytest.mark.parametrize("width", [2, 1024])
+def test_bars_of_dimension_1_without_triangles(clouds, block, monkeypatch, width):
+    from skeinlab.operators import loops
+
+    monkeypatch.setattr(loops, "BLOCK", 16)
+    monkeypatch.setattr(loops, "RANGE", width)
+    for bound in (0.5, 0.7, INF):
+        want = homology.bars(rips.vietoris_rips(clouds, bound)).filter("dim <= 1").select("space_id", "dim", "birth", "death")
+        for in_rounds in (False, True):
+            same(homology.bars_of_points(clouds, bound, in_rounds), want)
+
+
 def test_names_of_the_package():
     import skeinlab
 

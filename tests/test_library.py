@@ -10,6 +10,7 @@ from skeinlab import catalogue
 from skeinlab.functions import fields
 from skeinlab.functions import intervals as I
 from skeinlab.functions import simplex as S
+from skeinlab.functions import text
 from skeinlab.operators import barcode, chains, homology, rips, spanning, symmetry, tiles
 from skeinlab.operators import metric as M
 from skeinlab.sources import metric as source
@@ -260,6 +261,16 @@ def test_bars_of_dimension_0_from_edges_of_tiles(clouds, block):
     same(homology.bars(cells).filter("dim = 0").select("space_id", "birth", "death"), homology.bars(rips.vietoris_rips(clouds, max_dim=1)).filter("dim = 0").select("space_id", "birth", "death"))
 
 
+def test_fundamental_cycles_by_tiles(clouds, block):
+    """The same terms as those of the general form."""
+    edges = M.distances(clouds).filter("d < 0.7")
+    want = {(r.space_id, r.src, r.dst): sorted((r.cycle).split(" + ")) for r in spanning.fundamental_cycles(clouds, edges).withColumn("cycle", text.show_chain(F.col("cycle"))).collect()}
+    got = spanning.shown_cycles(clouds, 0.7).collect()
+    assert got and len(got) == len(want) and {(r.space_id, r.src, r.dst): sorted(r.cycle.split(" + ")) for r in got} == want
+    facts = spanning.cycle_facts(clouds, 0.7).collect()
+    assert {(r.space_id, r.src, r.dst) for r in facts} == set(want) and len(facts) == len(want) and {(r.others, r.faces) for r in facts} == {(1, 0)}
+
+
 @pytest.mark.parametrize("width", [2, 1024])
 def test_bars_of_dimension_1_without_triangles(clouds, block, monkeypatch, width):
     from skeinlab.operators import loops

@@ -303,6 +303,47 @@ def test_bars_of_dimension_1_without_triangles(clouds, block, monkeypatch, width
             same(homology.bars_of_points(clouds, bound, in_rounds), want)
 
 
+@pytest.fixture(scope="module")
+def embedded(spark, tmp_path_factory):
+    """A folder with three spaces in embeddings.parquet, and its triangles below 1.36: (space, i, j, k) and the value."""
+    rnd = random.Random(11)
+    folder = str(tmp_path_factory.mktemp("embedded"))
+    rows = [(7 * v, [rnd.random() * 1.2 for _ in range(5)], v % 3) for v in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    at = {(r.label, r.vec_id): r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    own = {s: sorted(v for x, v in at if x == s) for s in range(3)}
+    d = {(s, a, b): sum((x - y) ** 2 for x, y in zip(at[s, a], at[s, b], strict=True)) ** 0.5 for s in own for a, b in itertools.combinations(own[s], 2)}
+    value = {(s, *c): max(d[s, a, b] for a, b in itertools.combinations(c, 2)) for s in own for c in itertools.combinations(own[s], 3)}
+    return folder, {c: f for c, f in value.items() if f < 1.36}, len(value)
+
+
+@pytest.fixture
+def without_joins(monkeypatch):
+    def expand(*_):
+        raise AssertionError("triangles by joins")
+
+    monkeypatch.setattr(rips, "expand", expand)
+
+
+def test_triangles_from_kernels_are_those_of_the_join(clouds, block, monkeypatch):
+    """Copies of a vertex, with coordinates of their own or the same ones, close as they do in a join."""
+    copied = clouds.filter("v % 5 = 0").withColumn("coords", F.transform("coords", lambda x: x + 0.01)).unionByName(clouds).unionByName(clouds.filter("v % 15 = 1"))
+    monkeypatch.setattr(tiles, "BATCH", 100)
+    monkeypatch.setattr(tiles, "AT_ONCE", 50)
+    for points in (clouds, copied):
+        for bound in (0.5, INF):
+            want = rips.expand(rips.stratified(points, M.distances(points).filter(F.col("d") < bound), 1)[1], M.distances(points).filter(F.col("d") < bound))
+            same(rips.triangles(points, bound), want.select("space_id", F.col("cell")[0], F.col("cell")[1], F.col("cell")[2], "f"))
+            same(rips.triangles(points, bound, valued=False), want.select("space_id", F.col("cell")[0], F.col("cell")[1], F.col("cell")[2]))
+    assert rips.triangles(clouds.filter("false"), 0.5).count() == 0
+
+
+def test_boundary_matrix_without_joins(spark, embedded, block, without_joins):
+    folder, triangles, every = embedded
+    want = sorted((s, f"{i}-{j}-{k}", *x) for s, i, j, k in triangles for x in ((f"{j}-{k}", 1), (f"{i}-{k}", -1), (f"{i}-{j}", 1)))
+    assert sorted(map(tuple, catalogue.QUERIES["boundary_matrix"](spark, folder).collect())) == want and 1000 < len(triangles) < every
+
+
 def test_names_of_the_package():
     import skeinlab
 

@@ -344,6 +344,21 @@ def test_boundary_matrix_without_joins(spark, embedded, block, without_joins):
     assert sorted(map(tuple, catalogue.QUERIES["boundary_matrix"](spark, folder).collect())) == want and 1000 < len(triangles) < every
 
 
+def test_rips_triangles_without_joins(spark, embedded, block, without_joins):
+    folder, triangles, _ = embedded
+    got = sorted(map(tuple, catalogue.QUERIES["rips_triangles"](spark, folder).collect()))
+    want = sorted((s, f"{i}-{j}-{k}", f) for (s, i, j, k), f in triangles.items())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 5.1e-7 for x, y in zip(got, want, strict=True))
+
+
+def test_millionths_are_those_of_round(spark):
+    rnd = random.Random(12)
+    values = [rnd.random() * 1.4 for _ in range(2000)] + [(2 * rnd.randrange(10**6) + 1) / 2e6 * (1 + e) for e in (-3e-10, -1e-16, 0, 1e-16, 3e-10) for _ in range(300)]
+    values += [0.0, 1e-7, 1e12 + 0.1234565, -0.1234565, INF, -INF, float("nan")]
+    rows = spark.createDataFrame([(x,) for x in values], "f double")
+    assert rows.select(F.round("f", 6).alias("a"), catalogue._millionths("f").alias("b")).filter("NOT a <=> b").count() == 0
+
+
 def test_names_of_the_package():
     import skeinlab
 

@@ -359,6 +359,19 @@ def test_millionths_are_those_of_round(spark):
     assert rows.select(F.round("f", 6).alias("a"), catalogue._millionths("f").alias("b")).filter("NOT a <=> b").count() == 0
 
 
+def test_simplex_index_without_joins(spark, embedded, block, without_joins):
+    folder, triangles, _ = embedded
+    want = sorted((s, f"{i}-{j}-{k}", i + j * (j - 1) // 2 + k * (k - 1) * (k - 2) // 6) for s, i, j, k in triangles)
+    assert sorted(map(tuple, catalogue.QUERIES["simplex_index"](spark, folder).collect())) == want
+
+
+def test_index_of_vertices_is_the_index_of_the_cell(spark):
+    """Beyond 2^53, too, and for vertices below their place."""
+    cells = [[0, 1, 2], [3, 5, 9], [0, 1, 2_000_000], [1_999_998, 1_999_999, 2_000_000], [-2, 0, 1]]
+    rows = spark.createDataFrame([(c,) for c in cells], "cell array<long>").select(S.index(F.col("cell")).alias("want"), S.index_of(*(F.col("cell")[i] for i in range(3))).alias("got"))
+    assert [r.want for r in rows.collect()] == [r.got for r in rows.collect()]
+
+
 def test_names_of_the_package():
     import skeinlab
 

@@ -372,6 +372,12 @@ def test_index_of_vertices_is_the_index_of_the_cell(spark):
     assert [r.want for r in rows.collect()] == [r.got for r in rows.collect()]
 
 
+def test_facet_indices_without_joins(spark, embedded, block, without_joins):
+    folder, triangles, _ = embedded
+    want = sorted((s, f"{i}-{j}-{k}", f"{a}-{b}", a + b * (b - 1) // 2) for s, i, j, k in triangles for a, b in ((j, k), (i, k), (i, j)))
+    assert sorted(map(tuple, catalogue.QUERIES["facet_indices"](spark, folder).collect())) == want
+
+
 def test_names_of_the_package():
     import skeinlab
 

@@ -378,6 +378,14 @@ def test_facet_indices_without_joins(spark, embedded, block, without_joins):
     assert sorted(map(tuple, catalogue.QUERIES["facet_indices"](spark, folder).collect())) == want
 
 
+def test_rips_kept_cells_without_joins(spark, embedded, block, without_joins):
+    folder, triangles, _ = embedded
+    got = {(r.space_id, *map(int, r.cell.split("-"))): r.f for r in catalogue.QUERIES["rips_kept_cells"](spark, folder).collect()}
+    cells = {(v % 3, 7 * v): 0.0 for v in range(90)} | {(r.space_id, r.src, r.dst): r.d for r in M.edges(catalogue.spaces(spark, folder), catalogue.TRIANGLE).collect()} | triangles
+    want = {c: f for c, f in cells.items() if c[1] % 2 == 0}
+    assert set(got) == set(want) and all(abs(got[c] - f) < 5.1e-7 for c, f in want.items()) and len(want) < len(cells)
+
+
 def test_names_of_the_package():
     import skeinlab
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +73,32 @@ def boundary_by(chains: DataFrame, table: DataFrame, field=Reals()) -> DataFrame
     b = table.select("cell", "face", F.col("coeff").alias("b"))
     rows = chains.join(b, "cell").select("chain_id", F.col("face").alias("cell"), (F.col("coeff") * F.col("b")).alias("coeff"))
     return collapse(rows, field)
+
+
+Term = tuple[tuple[np.ndarray, ...], int]
+
+
+def faces_of(terms: list[Term]) -> list[Term]:
+    """The boundary of a chain in each row, before equal terms are added: a term is a cell's vertices, an array for each place, and its coefficient."""
+    return [(cell[:a] + cell[a + 1 :], c * (-1) ** a) for cell, c in terms if len(cell) > 1 for a in range(len(cell))]
+
+
+def count_terms(terms: list[Term]) -> int:
+    """How many terms the rows' chains have when those of the same cell are added and zeros go."""
+    n = len(terms[0][0][0]) if terms else 0
+    total = [np.full(n, c, np.int8) for _, c in terms]
+    again = [np.zeros(n, bool) for _ in terms]  # an earlier term has that cell
+    for b, (cell, c) in enumerate(terms):
+        for a, (other, d) in enumerate(terms[:b]):
+            if len(other) != len(cell):
+                continue
+            same = np.ones(n, bool) if not cell else cell[0] == other[0]
+            for x, y in zip(cell[1:], other[1:], strict=True):
+                same &= x == y
+            for x, by in ((total[a], c), (total[b], d)):
+                if abs(by) == 1:
+                    (np.add if by == 1 else np.subtract)(x, same.view(np.int8), out=x)
+                else:
+                    x += same.view(np.int8) * np.int8(by)
+            again[b] |= same
+    return sum(int(np.count_nonzero((t != 0) > x)) for t, x in zip(total, again, strict=True))

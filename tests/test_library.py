@@ -386,6 +386,28 @@ def test_rips_kept_cells_without_joins(spark, embedded, block, without_joins):
     assert set(got) == set(want) and all(abs(got[c] - f) < 5.1e-7 for c, f in want.items()) and len(want) < len(cells)
 
 
+def test_boundary_squared_zero_without_joins(spark, embedded, block, without_joins, monkeypatch):
+    """Every triangle is taken, and a wrong sign shows."""
+    folder, triangles, _ = embedded
+    points = catalogue.spaces(spark, folder)
+    assert [r.n for r in catalogue.QUERIES["boundary_squared_zero"](spark, folder).collect()] == [0]
+    assert [r.n for r in rips.boundary_twice(points.filter("false"), 1.36).collect()] == [0]
+    seen = {r.space_id: r.n for r in tiles.over_triangles(points, 1.36, lambda i, j, k: int(((i < j) & (j < k)).sum())).groupBy("space_id").agg(F.sum("n").alias("n")).collect()}
+    assert seen == {s: sum(c[0] == s for c in triangles) for s in range(3)}
+    unsigned = rips.boundary_twice(points, 1.36, lambda terms: [(cell, abs(c)) for cell, c in chains.faces_of(terms)])
+    assert [r.n for r in unsigned.collect()] == [3 * len(triangles)]
+
+
+def test_terms_of_a_row_are_added_up():
+    import numpy as np
+
+    i, j, k = (np.array(x) for x in ([0, 3], [1, 4], [2, 9]))
+    edges = chains.faces_of([((i, j, k), 1)])
+    assert [c for _, c in edges] == [1, -1, 1] and chains.count_terms(edges) == 6
+    assert chains.count_terms(chains.faces_of(edges)) == 0 and chains.count_terms([]) == 0
+    assert chains.count_terms([((i,), 1), ((np.array([0, 5]),), 1), ((i,), -2)]) == 2
+
+
 def test_names_of_the_package():
     import skeinlab
 

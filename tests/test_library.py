@@ -306,6 +306,25 @@ def test_fundamental_cycles_by_tiles(clouds, block):
     assert {(r.space_id, r.src, r.dst) for r in facts} == set(want) and len(facts) == len(want) and {(r.others, r.faces) for r in facts} == {(1, 0)}
 
 
+def test_fundamental_cycles_leave_a_tile_in_small_batches(clouds, monkeypatch):
+    """No task holds the text of all its cycles: of 60 points on a line, those of 1,711 edges."""
+    import pyarrow as pa
+    from pyspark.sql.group import GroupedData
+
+    kernels = []
+    apply = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: kernels.append(f) or apply(self, f, schema))
+    monkeypatch.setattr(spanning, "AT_ONCE", 20_000, raising=False)
+    spanning.shown_cycles(clouds, 2.5)
+    n = 60
+    tile = pa.table({"space_id": [7] * n, "lo": [0] * n, "hi": [0] * n, "first": [True] * n, "v": list(range(n)), "coords": [[v / n] for v in range(n)], "path": [list(range(v + 1)) for v in range(n)]})
+    batches = list(kernels[-1](iter(tile.to_batches())))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert sorted((r["src"], r["dst"]) for r in rows) == [(i, j) for i in range(n) for j in range(i + 2, n)]
+    assert all(r["space_id"] == 7 and r["cycle"].count("⊠") == r["dst"] - r["src"] + 1 for r in rows)
+    assert len(batches) > 10 and max(sum(len(x) for x in b.column("cycle").to_pylist()) for b in batches) < 25_000
+
+
 @pytest.mark.parametrize("width", [2, 1024])
 def test_bars_of_dimension_1_without_triangles(clouds, block, monkeypatch, width):
     from skeinlab.operators import loops

@@ -337,6 +337,27 @@ def test_bars_of_dimension_1_without_triangles(clouds, block, monkeypatch, width
             same(homology.bars_of_points(clouds, bound, in_rounds), want)
 
 
+def test_a_space_of_loops_holds_little_more_than_its_ranks():
+    """Under 12 bytes for each pair of 700 points, where matrices of distances took over 20; first vertices are those of all triangles."""
+    import tracemalloc
+
+    import numpy as np
+
+    from skeinlab.operators import loops
+
+    n = 700
+    points = tiles.Side(np.arange(n), np.random.default_rng(0).random((8, n)), np.full(n, 8))
+    tracemalloc.start()
+    space = loops.Space(points, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * n * n
+    for r in range(0, space.edges, 50):
+        early = np.flatnonzero(np.maximum(space.rank[space.src[r]], space.rank[space.dst[r]]) < r)
+        assert space.first[r] == (early[0] if len(early) else -1)
+    assert (np.diff(space.d) >= 0).all() and space.tree.sum() == n - 1
+
+
 @pytest.fixture(scope="module")
 def embedded(spark, tmp_path_factory):
     """A folder with three spaces in embeddings.parquet, and its triangles below 1.36: (space, i, j, k) and the value."""
